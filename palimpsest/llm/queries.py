@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import frequency, normalize
+from palimpsest.llm import frequency, leakage, normalize, overlap, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": sentences.p1_found,
+        "p1_sentences": sentences.p1_sentences,
         "p2_found": normalize.p2_found,
         "p2_token_forms": normalize.p2_token_forms,
         "p2_request_forms": normalize.p2_request_forms,
         "p5_found": frequency.p5_found,
         "p5_frequencies": frequency.p5_frequencies,
+        "p6_found": overlap.p6_found,
+        "p6_report": overlap.p6_report,
+        "p8_found": leakage.p8_found,
+        "p8_report": leakage.p8_report,
     }
 
 
