@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import frequency, leakage, normalize, overlap, sentences
+from palimpsest.llm import frequency, language, leakage, normalize, overlap, packing, sentences, subjects
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,12 +16,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": normalize.p2_found,
         "p2_token_forms": normalize.p2_token_forms,
         "p2_request_forms": normalize.p2_request_forms,
+        "p3_found": language.p3_found,
+        "p3_records": language.p3_records,
         "p5_found": frequency.p5_found,
         "p5_frequencies": frequency.p5_frequencies,
         "p6_found": overlap.p6_found,
         "p6_report": overlap.p6_report,
+        "p7_pack": packing.p7_pack,
+        "p7_summary": packing.p7_summary,
         "p8_found": leakage.p8_found,
         "p8_report": leakage.p8_report,
+        "p9_found": subjects.p9_found,
+        "p9_composition": subjects.p9_composition,
     }
 
 
