@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import frequency, language, leakage, normalize, overlap, packing, sentences, subjects
+from palimpsest.llm import frequency, language, leakage, normalize, overlap, packing, pii, sentences, subjects
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_request_forms": normalize.p2_request_forms,
         "p3_found": language.p3_found,
         "p3_records": language.p3_records,
+        "p4_found": pii.p4_found,
+        "p4_masked": pii.p4_masked,
         "p5_found": frequency.p5_found,
         "p5_frequencies": frequency.p5_frequencies,
         "p6_found": overlap.p6_found,
