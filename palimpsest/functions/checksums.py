@@ -36,10 +36,10 @@ def digit_sum(d: Column) -> Column:
 
 
 def siret(s: Column) -> Column:
-    """14 digits passing Luhn; establishments of the postal company pass if their digits sum to a multiple of five."""
+    """14 digits passing Luhn; establishments of the postal company have digits that sum to a multiple of five instead."""
     d = digits(s)
-    postal = d.startswith("356000000") & (F.when(d.rlike(r"^\d+$"), digit_sum(d)) % 5 == 0)
-    return F.coalesce(d.rlike(r"^\d{14}$") & (luhn(d) | postal), F.lit(False))
+    sums = F.when(d.rlike(r"^\d+$"), digit_sum(d)) % 5 == 0
+    return F.coalesce(d.rlike(r"^\d{14}$") & F.when(d.startswith("356000000"), sums).otherwise(luhn(d)), F.lit(False))
 
 
 def mod97(d: Column) -> Column:

@@ -25,11 +25,9 @@ def parse_key(text: str) -> bytes:
         key = bytes.fromhex(s)
         if len(key) >= MIN_KEY_BYTES:
             return key
-    for decode in (base64.b64decode, base64.urlsafe_b64decode):
-        try:
-            key = decode(s + "=" * (-len(s) % 4)) if decode is base64.urlsafe_b64decode else decode(s + "=" * (-len(s) % 4), validate=True)
-        except ValueError:
-            continue
+    body = s.rstrip("=")
+    if re.fullmatch(r"[A-Za-z0-9+/]+|[A-Za-z0-9_\-]+", body) and len(body) % 4 != 1:
+        key = base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
         if len(key) >= MIN_KEY_BYTES:
             return key
     raise KeyError_(f"a key of at least {MIN_KEY_BYTES} bytes in hex or base64 is needed")

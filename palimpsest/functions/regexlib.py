@@ -30,12 +30,12 @@ def translate(pattern: str) -> str:
     return (f"(?{new})" if new else "") + body
 
 
-def find_all(text: Column, pattern: str, marked: str = "$0", prefix: str = "") -> Column:
+def find_all(text: Column, pattern: str | Column, marked: str = "$0", prefix: str = "") -> Column:
     """array<struct<text, start, end>> of all matches, in code points, end exclusive; null for a null text.
 
     `prefix` and `marked` say what of a match is outside and inside the span, as replacement groups.
     """
-    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), pattern, f"{prefix}{MARK}{marked}{MARK}"), MARK, -1)
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(f"{prefix}{MARK}{marked}{MARK}")), MARK, -1)
     start = F.expr(f"named_struct('at', 0, 'inside', false, 'spans', cast(array() as array<{SPAN}>))")
 
     def step(acc: Column, piece: Column) -> Column:

@@ -68,7 +68,8 @@ def known_entities(output: Column, surfaces: Column) -> Column:
 
     The surfaces are those of the row itself, so nothing is joined. An alternation built for each row has no native form.
     """
-    return _known(output, surfaces)
+    # marked so that the optimizer neither repeats it in an inferred filter nor moves it into a generator
+    return _known.asNondeterministic()(output, surfaces)
 
 
 def verify(df: DataFrame, source: str = "text", output: str = "anonymized", entities: str = "entities", validated: bool = False) -> DataFrame:
