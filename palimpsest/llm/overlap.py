@@ -3,7 +3,8 @@
 Exact prefix-filter bipartite join on rare shingles. A sentence is reduced to its letters and digits (case, accents,
 punctuation, blanks and look-alikes removed), so word segmentation plays no part, and cut into character shingles. If at
 most one word in eight differs, the shingles that a sentence can lose are bounded by its longest words; with one order of
-all shingles, rare ones first, both sentences must then share a shingle among the first `lost + 1` of either. Evaluation
+all shingles, rare ones first, both sentences must then share a shingle among the first `lost + 1` of either. Any one order gives the same result; rarity, which only keeps the join small, is
+read from counts of shingles in a fixed number of buckets. Evaluation
 prefixes are indexed, training prefixes probe them under a length and a position filter, and every candidate is verified
 by an alignment of words that lets words be joined or cut freely.
 
@@ -15,16 +16,19 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.canon import plain
-from palimpsest.session import spread, table
+from palimpsest.session import checkpoint, table
 
-#: Characters of a shingle; one word in WORDS_PER_CHANGE may differ; shingles in more sentences than FREQUENT come last.
-SHINGLE, WORDS_PER_CHANGE, FREQUENT = 10, 8, 20
+#: Characters of a shingle; one word in WORDS_PER_CHANGE may differ.
+SHINGLE, WORDS_PER_CHANGE = 10, 8
+#: Buckets of the frequency sketch.
+BUCKETS = 1 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -44,24 +48,33 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return grouped.select("sent_id", "split", "source", bare_words(F.transform("w", lambda x: x["word"])).alias("words"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.IntegerType())])))
-def _grams(words: pd.Series) -> pd.Series:
+def _grams(words) -> dict[int, int]:
+    """Hash of each distinct shingle of a sentence with its first position."""
     import xxhash
 
-    def cut(ws):
-        s = "".join(ws)
-        seen: dict[str, int] = {}
-        for i in range(max(1, len(s) - SHINGLE + 1)):
-            seen.setdefault(s[i : i + SHINGLE], i)
-        return [{"gram": xxhash.xxh64_intdigest(g.encode()) - (1 << 63), "pos": p} for g, p in seen.items()]
+    s = "".join(words)
+    seen: dict[int, int] = {}
+    for i in range(max(1, len(s) - SHINGLE + 1)):
+        seen.setdefault(xxhash.xxh64_intdigest(s[i : i + SHINGLE]) - (1 << 63), i)
+    return seen
 
-    return words.map(cut)
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _buckets(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [g % BUCKETS for g in _grams(ws)])
 
-@F.pandas_udf(T.IntegerType())
-def _lost(words: pd.Series) -> pd.Series:
+
+def frequency_sketch(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each of BUCKETS buckets: counted over everything, of fixed size."""
+    counts = texts.select(F.explode(_buckets("words")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[counts["b"].to_numpy(dtype=np.int64)] = counts["n"]
+    return out
+
+
+def _lost(words) -> int:
     """The most shingles that the allowed number of changed words can take from a sentence."""
-    return words.map(lambda ws: sum(sorted((len(w) + SHINGLE - 1 for w in ws), reverse=True)[: len(ws) // WORDS_PER_CHANGE]))
+    return sum(sorted((len(w) + SHINGLE - 1 for w in words), reverse=True)[: len(words) // WORDS_PER_CHANGE])
 
 
 def changes(a: list[str], b: list[str], most: int) -> int:
@@ -112,23 +125,25 @@ def overlaps(tokens: DataFrame) -> DataFrame:
     Sentences without a letter or digit, or without split, match nothing. A sentence of fewer than eight words matches
     only when equal. Empty tables give an empty result.
     """
-    sents = sentences(tokens).where("size(words) > 0 and split is not null").withColumn("side", F.when(F.col("split") == "train", "t").when(F.col("split").isin("dev", "test"), "e")).where("side is not null").withColumn("key", F.xxhash64(F.array_join("words", " ")))
+    side = F.when(F.col("split") == "train", "t").when(F.col("split").isin("dev", "test"), "e")
+    # read again and again below, so both are written once to the shared folder
+    sents = checkpoint(sentences(tokens).where("size(words) > 0").withColumn("side", side).where("side is not null").select("sent_id", "side", "words", F.xxhash64(F.array_join("words", " ")).alias("key")))
     # one row per distinct text of a side
-    texts = spread(sents.groupBy("side", "key").agg(F.first("words").alias("words")))
-    shingled = texts.select("side", "key", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("chars"), _lost("words").alias("lost"), _grams("words").alias("grams"))
-    each = shingled.select("side", "key", F.explode("grams.gram").alias("gram"))
-    frequent = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > FREQUENT)
-    flat = shingled.select("side", "key", "n", "chars", "lost", F.explode("grams").alias("g")).select("side", "key", "n", "chars", "lost", "g.gram", "g.pos")
-    ranked = flat.join(frequent, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # the first `lost + 1` shingles of each text in the order (frequency, shingle)
-    prefixes = (
-        ranked.groupBy("side", "key", "n", "chars", "lost")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram", "pos"))).alias("all"))
-        .select("side", "key", "n", "chars", "lost", F.explode(F.slice("all", 1, F.col("lost") + 1)).alias("g"))
-        .select("side", "key", "n", "chars", "lost", "g.gram", "g.pos")
-    )
-    ev = prefixes.where("side = 'e'").select("gram", *[F.col(c).alias(f"{c}_e") for c in ("key", "n", "chars", "lost", "pos")])
-    tr = prefixes.where("side = 't'").select("gram", *[F.col(c).alias(f"{c}_t") for c in ("key", "n", "chars", "lost", "pos")])
+    texts = checkpoint(sents.groupBy("side", "key").agg(F.first("words").alias("words")))
+    sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts))  # BUCKETS numbers, whatever the data
+
+    @F.pandas_udf(T.StructType([T.StructField("lost", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.IntegerType())])))]))
+    def first_grams(words: pd.Series) -> pd.DataFrame:
+        n = sketch.value
+        lost = [_lost(ws) for ws in words]
+        kept = [sorted(_grams(ws).items(), key=lambda x: (n[x[0] % BUCKETS], x[0]))[: k + 1] for ws, k in zip(words, lost)]
+        return pd.DataFrame({"lost": lost, "grams": [[{"gram": g, "pos": p} for g, p in k] for k in kept]})
+
+    # the first `lost + 1` shingles of each text in the order (frequency of the bucket, shingle)
+    ranked = texts.select("side", "key", F.length(F.array_join("words", "")).alias("chars"), first_grams("words").alias("f"))
+    prefixes = ranked.select("side", "key", "chars", "f.lost", F.explode("f.grams").alias("g")).select("side", "key", "chars", "lost", "g.gram", "g.pos")
+    ev = prefixes.where("side = 'e'").select("gram", *[F.col(c).alias(f"{c}_e") for c in ("key", "chars", "lost", "pos")])
+    tr = prefixes.where("side = 't'").select("gram", *[F.col(c).alias(f"{c}_t") for c in ("key", "chars", "lost", "pos")])
     slack = F.greatest("lost_e", "lost_t")
     candidates = (
         tr.join(ev, "gram")
