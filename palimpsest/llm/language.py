@@ -29,6 +29,8 @@ from palimpsest.session import spread, table
 
 #: Bounds of the labelled sample, by language: rows, and characters of training text.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 32_000
+#: Characters of a sampled row that the sample may take.
+ROW_CHARS = 20_000
 #: Letters that a block must have, and how much cheaper another language must be than the declared one.
 MIN_LETTERS, MARGIN = 30, 0.97
 #: Share of the sample that trains the automata which check the labels of the rest.
@@ -188,7 +190,7 @@ def training_texts(recs: DataFrame) -> tuple[tuple[str, str], ...]:
     by = Window.partitionBy("code").orderBy(F.xxhash64("src", "rec_id"), "rec_id")
     rows = (
         recs.where("text <> ''").join(coded.where("code is not null"), "lang")
-        .select("code", "src", "rec_id", F.substring("text", 1, 20_000).alias("text"))
+        .select("code", "src", "rec_id", F.substring("text", 1, ROW_CHARS).alias("text"))
         .withColumn("rn", F.row_number().over(by))
         .where(F.col("rn") <= SAMPLE_ROWS)
         .orderBy("code", "rn")

@@ -28,7 +28,7 @@ from palimpsest.session import checkpoint, table
 #: Characters of a shingle; one word in WORDS_PER_CHANGE may differ.
 SHINGLE, WORDS_PER_CHANGE = 10, 8
 #: Buckets of the frequency sketch.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 17
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -67,7 +67,7 @@ def _buckets(words: pd.Series) -> pd.Series:
 def frequency_sketch(texts: DataFrame) -> np.ndarray:
     """How many shingles of all texts fall into each of BUCKETS buckets: counted over everything, of fixed size."""
     counts = texts.select(F.explode(_buckets("words")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(BUCKETS, np.int32)
     out[counts["b"].to_numpy(dtype=np.int64)] = counts["n"]
     return out
 
