@@ -237,10 +237,10 @@ def generated_all_valid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("iban_checked", rf"""with {_TEXTS}, m as (select src, rec_id, unnest(regexp_extract_all(text, {_lit(dt.IBAN)})) as v from texts), d as (select src, rec_id, v, regexp_replace(v, '[\s\p{{Zs}}]', '', 'g') as s from m),
+@query("french_iban_checked", rf"""with {_TEXTS}, m as (select src, rec_id, unnest(regexp_extract_all(text, {_lit(dt.IBAN)})) as v from texts), d as (select src, rec_id, v, regexp_replace(v, '[\s\p{{Zs}}]', '', 'g') as s from m),
  t as (select *, substr(s, 5) || substr(s, 1, 4) as t from d)
  select src, rec_id, v as value, s[1:2] = 'FR' and length(s) = 27 and list_reduce(list_prepend(0, [case when ascii(substr(t, i, 1)) > 57 then ascii(substr(t, i, 1)) - 55 else ascii(substr(t, i, 1)) - 48 end for i in range(1, length(t) + 1)]), lambda a, x: (case when x > 9 then a * 100 + x else a * 10 + x end) % 97) = 1 as ok, count(*) as n from t where s[1:2] = 'FR' group by all""")
-def iban_checked(spark: SparkSession, d: str) -> DataFrame:
+def french_iban_checked(spark: SparkSession, d: str) -> DataFrame:
     m = texts(spark, d).select("src", "rec_id", F.explode(find_all(F.col("text"), translate(dt.IBAN))).alias("m")).select("src", "rec_id", F.col("m.text").alias("value")).where("value like 'FR%'")
     return m.groupBy("src", "rec_id", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("ok", checksums.iban(F.col("value")))
 

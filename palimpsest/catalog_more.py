@@ -73,7 +73,8 @@ def document_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("unwritable_regions", f"select source, count(*) as regions, cast(sum(len(regexp_extract_all(text, {_lit(dt.EMAIL)}))) as bigint) as hits from documents where text is not null and source = 'ledger' group by source")
 def unwritable_regions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text is not null and source = 'ledger'").withColumn("writable", F.lit(False))
+    """Hits in posts of the board that is taken as read-only."""
+    rows = table(spark, d, "documents").where("text is not null").withColumn("writable", F.col("source") != "ledger")
     found = vf.unwritable(rows).withColumn("emails", F.size(F.filter("leaks", lambda x: x["type"] == "EMAIL")))
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("regions"), F.sum("emails").alias("hits"))
 
