@@ -201,9 +201,10 @@ def pruned_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("brown_clusters")
 def brown_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Bit paths of the most frequent words of annotated sentences, with their prefixes."""
-    uni, bi = brown.counts(annotated(spark, d), ["sent_id"], "pos", "word", 5, 120)
-    paths = brown.cluster(uni, bi, 16)
+    """Bit paths of the words of annotated sentences that stand there five times or more, with their prefixes: of the 20,000
+    most frequent at most, in 1,000 clusters."""
+    uni, bi = brown.counts(annotated(spark, d), ["sent_id"], "pos", "word", 5, 20_000)
+    paths = brown.cluster(uni, bi, 1_000)
     df = spark.createDataFrame(sorted(paths.items()), "word string, path string")
     return df.select("word", "path", tx.brown_prefixes(F.col("path")).alias("prefixes"))
 

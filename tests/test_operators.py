@@ -247,3 +247,34 @@ def test_pipeline(spark):
     assert rows[2].anonymized is None
     ok = pipeline.run(spark.createDataFrame([(1, "mail a@b.co")], "id int, text string"), pipeline.Options(strict=True), ids=["id"]).first()
     assert ok.anonymized.startswith("mail ⟦EMAIL_1_") and ok.leaks == []
+
+
+def test_brown_query_takes_every_frequent_word(spark):
+    from palimpsest import catalog_more
+    from palimpsest.catalog import annotated
+
+    d = "/root/testdata/sf0.01"
+    want = {r["word"] for r in tokens.vocabulary(annotated(spark, d), "word", 5).collect()}
+    got = [r.word for r in catalog_more.brown_clusters(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 120
+
+
+def test_brown_merges_lose_least():
+    """The first merge is the one of all pairs that leaves most mutual information, counted anew."""
+    import math
+
+    for seed in range(5):
+        rng = random.Random(seed)
+        words = [f"w{k}" for k in range(7)]
+        bi = {(a, b): rng.randint(1, 9_999) for a in words for b in words if rng.random() < 0.7}
+
+        def information(of):
+            cell, out, into = {}, {}, {}
+            for (a, b), n in bi.items():
+                for m, k in ((cell, (of[a], of[b])), (out, of[a]), (into, of[b])):
+                    m[k] = m.get(k, 0) + n
+            return sum(n * math.log(n / (out[a] * into[b])) for (a, b), n in cell.items())
+
+        best = max(((a, b) for k, a in enumerate(words) for b in words[k + 1 :]), key=lambda p: information({w: p[0] if w == p[1] else w for w in words}))
+        paths = brown.cluster([(w, 9 - k) for k, w in enumerate(words)], bi, 7)
+        assert paths[best[0]][:-1] == paths[best[1]][:-1]
