@@ -1,12 +1,15 @@
 """Same or near-same records across splits (problem 6).
 
 Exact prefix-filter bipartite join on rare shingles. A sentence is reduced to its letters and digits (case, accents,
-punctuation, blanks and look-alikes removed), so word segmentation plays no part, and cut into character shingles. If at
-most one word in eight differs, the shingles that a sentence can lose are bounded by its longest words; with one order of
-all shingles, rare ones first, both sentences must then share a shingle among the first `lost + 1` of either. Any one order gives the same result; rarity, which only keeps the join small, is
-read from counts of shingles in a fixed number of buckets. Evaluation
-prefixes are indexed, training prefixes probe them under a length and a position filter, and every candidate is verified
-by an alignment of words that lets words be joined or cut freely.
+punctuation, blanks and look-alikes removed), so word segmentation plays no part, and cut into character shingles. A pair
+may differ in one word in eight of its longer sentence, which may have more words than the other: words added, or cut. The
+shingles that a sentence can lose are bounded, for each number of changes that some partner allows (`_levels`), by its
+longest words; with one order of all shingles, rare ones first, both sentences must then share a shingle among the first
+`lost + 1` of either at the pair's number of changes. Where the words are so short that no shingle need be left in either,
+short shingles do the same. Any one order gives the same result; rarity, which only keeps the join small, is read from
+counts of shingles in a fixed number of buckets. Evaluation prefixes are indexed, training prefixes probe them under a
+length and a position filter, and every candidate is verified by an alignment of words that lets words be joined or cut, up
+to JOINED more words on one side than the changes explain.
 
 Exact copies are taken together before the join and expanded after it, so a text that stands a million times in training
 is compared once.
@@ -27,6 +30,8 @@ from palimpsest.session import checkpoint, table
 
 #: Characters of a shingle; one word in WORDS_PER_CHANGE may differ.
 SHINGLE, WORDS_PER_CHANGE = 10, 8
+#: Words that one sentence may have more than the other besides the changes; shingle where no longer one need be left.
+JOINED, SHORT = 4, 3
 #: Buckets of the frequency sketch.
 BUCKETS = 1 << 17
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -48,14 +53,15 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return grouped.select("sent_id", "split", "source", bare_words(F.transform("w", lambda x: x["word"])).alias("words"))
 
 
-def _grams(words) -> dict[int, int]:
-    """Hash of each distinct shingle of a sentence with its first position."""
+def _grams(words, size: int = SHINGLE, salt: str = "") -> dict[int, int]:
+    """Hash of each distinct shingle of a sentence with its position, or -1 if it stands there more than once."""
     import xxhash
 
     s = "".join(words)
     seen: dict[int, int] = {}
-    for i in range(max(1, len(s) - SHINGLE + 1)):
-        seen.setdefault(xxhash.xxh64_intdigest(s[i : i + SHINGLE]) - (1 << 63), i)
+    for i in range(max(1, len(s) - size + 1)):
+        g = xxhash.xxh64_intdigest(salt + s[i : i + size]) - (1 << 63)
+        seen[g] = -1 if g in seen else i
     return seen
 
 
@@ -72,9 +78,40 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _lost(words) -> int:
-    """The most shingles that the allowed number of changed words can take from a sentence."""
-    return sum(sorted((len(w) + SHINGLE - 1 for w in words), reverse=True)[: len(words) // WORDS_PER_CHANGE])
+def _levels(n: int) -> range:
+    """The numbers of changes that a pair with a sentence of `n` words can be allowed.
+
+    At least one in WORDS_PER_CHANGE of its own words. A longer partner of m words allows k = m // WORDS_PER_CHANGE, and
+    m <= n + k + JOINED, or `changes` refuses the pair; so k * (WORDS_PER_CHANGE - 1) <= n + JOINED.
+    """
+    own = n // WORDS_PER_CHANGE
+    return range(own, max(own, (n + JOINED) // (WORDS_PER_CHANGE - 1)) + 1)
+
+
+def _lost(words, k: int, size: int = SHINGLE) -> int:
+    """The most shingles that `k` changed words can take from a sentence."""
+    return sum(sorted((len(w) + size - 1 for w in words), reverse=True)[:k]) + max(0, k - len(words)) * (size - 1)
+
+
+def prefix(words, side: str, rank) -> list[tuple[int, int, int]]:
+    """(shingle, position, level): the shingles by which a sentence is found, each with the fewest changes that need it."""
+    levels = _levels(len(words))
+    grams = sorted(_grams(words).items(), key=lambda x: (rank(x[0]), x[0]))
+    out, done = [], 0
+    for k in levels:
+        upto = min(len(grams), _lost(words, k) + 1)
+        out += [(g, p, k) for g, p in grams[done:upto]]
+        done = max(done, upto)
+    places = max(1, sum(map(len, words)) - SHINGLE + 1)
+    for k in levels:
+        if k and places <= _lost(words, k):
+            # no shingle need be left: by short ones, of which the sentence with more words always keeps some. They are kept
+            # apart by k and by the side that has more words, so that two short sentences do not meet
+            for longer in "et":
+                if (k == levels[0]) if longer == side else (k > levels[0] or longer == "e"):
+                    short = sorted(_grams(words, SHORT, f"{longer}{k} ").items())[: _lost(words, k, SHORT) + 1]
+                    out += [(g, p, k) for g, p in short]
+    return out
 
 
 def changes(a: list[str], b: list[str], most: int) -> int:
@@ -83,7 +120,7 @@ def changes(a: list[str], b: list[str], most: int) -> int:
     Banded dynamic programming over words; up to three words of one side may stand for up to three of the other.
     """
     n, m = len(a), len(b)
-    band = most + 4
+    band = most + JOINED
     if abs(n - m) > band:
         return most + 1
     big = most + 1
@@ -122,7 +159,7 @@ def near(a: pd.Series, b: pd.Series) -> pd.Series:
 def overlaps(tokens: DataFrame) -> DataFrame:
     """(sent_id_a, sent_id_b): every training sentence with every dev or test sentence that equals it or nearly so.
 
-    Sentences without a letter or digit, or without split, match nothing. A sentence of fewer than eight words matches
+    Sentences without a letter or digit, or without split, match nothing. Two sentences of fewer than eight words match
     only when equal. Empty tables give an empty result.
     """
     side = F.when(F.col("split") == "train", "t").when(F.col("split").isin("dev", "test"), "e")
@@ -132,22 +169,25 @@ def overlaps(tokens: DataFrame) -> DataFrame:
     texts = checkpoint(sents.groupBy("side", "key").agg(F.first("words").alias("words")))
     sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts))  # BUCKETS numbers, whatever the data
 
-    @F.pandas_udf(T.StructType([T.StructField("lost", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.IntegerType())])))]))
-    def first_grams(words: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.StructType([T.StructField("own", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("gram", T.LongType()), ("pos", T.IntegerType()), ("level", T.IntegerType()))])))]))
+    def first_grams(words: pd.Series, side: pd.Series) -> pd.DataFrame:
         n = sketch.value
-        lost = [_lost(ws) for ws in words]
-        kept = [sorted(_grams(ws).items(), key=lambda x: (n[x[0] % BUCKETS], x[0]))[: k + 1] for ws, k in zip(words, lost)]
-        return pd.DataFrame({"lost": lost, "grams": [[{"gram": g, "pos": p} for g, p in k] for k in kept]})
-
-    # the first `lost + 1` shingles of each text in the order (frequency of the bucket, shingle)
-    ranked = texts.select("side", "key", F.length(F.array_join("words", "")).alias("chars"), first_grams("words").alias("f"))
-    prefixes = ranked.select("side", "key", "chars", "f.lost", F.explode("f.grams").alias("g")).select("side", "key", "chars", "lost", "g.gram", "g.pos")
-    ev = prefixes.where("side = 'e'").select("gram", *[F.col(c).alias(f"{c}_e") for c in ("key", "chars", "lost", "pos")])
-    tr = prefixes.where("side = 't'").select("gram", *[F.col(c).alias(f"{c}_t") for c in ("key", "chars", "lost", "pos")])
-    slack = F.greatest("lost_e", "lost_t")
+        levels = [_levels(len(ws)) for ws in words]
+        # the most characters by which length and positions can differ
+        spare = [sum(sorted(map(len, ws), reverse=True)[: k[-1]]) for ws, k in zip(words, levels)]
+        kept = [[{"gram": g, "pos": p, "level": k} for g, p, k in prefix(ws, s, lambda g: n[g % BUCKETS])] for ws, s in zip(words, side)]
+        return pd.DataFrame({"own": [k[0] for k in levels], "spare": spare, "grams": kept})
+
+    about = ("key", "chars", "own", "spare", "pos", "level")
+    ranked = texts.select("side", "key", F.length(F.array_join("words", "")).alias("chars"), first_grams("words", "side").alias("f"))
+    prefixes = ranked.select("side", "key", "chars", "f.own", "f.spare", F.explode("f.grams").alias("g")).select("side", "key", "chars", "own", "spare", "g.*")
+    ev = prefixes.where("side = 'e'").select("gram", *[F.col(c).alias(f"{c}_e") for c in about])
+    tr = prefixes.where("side = 't'").select("gram", *[F.col(c).alias(f"{c}_t") for c in about])
+    slack, allowed = F.greatest("spare_e", "spare_t"), F.greatest("own_e", "own_t")
     candidates = (
         tr.join(ev, "gram")
-        .where((F.abs(F.col("chars_e") - F.col("chars_t")) <= slack) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= slack))
+        .where((F.col("level_e") <= allowed) & (F.col("level_t") <= allowed) & (F.abs(F.col("chars_e") - F.col("chars_t")) <= slack))
+        .where((F.col("pos_e") < 0) | (F.col("pos_t") < 0) | (F.abs(F.col("pos_e") - F.col("pos_t")) <= slack))
         .select("key_e", "key_t")
         .distinct()
     )

@@ -68,6 +68,40 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_short_sentences(spark):
+    """Words added, dropped, replaced, joined and cut around the lengths where one change more is allowed, also with words too
+    short for a shingle to stay."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(160):
+        most = rng.choice([2, 3, 6, 11])
+        word = lambda most=most: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, most)))
+        a = [word() for _ in range(rng.choice([7, 8, 10, 15, 16, 23, 24]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k, kind = rng.randrange(len(b)), rng.choice("adrjc")
+            if kind == "a":
+                b.insert(k, word())
+            elif kind == "d":
+                del b[k]
+            elif kind == "r":
+                b[k] = word()
+            elif kind == "j":
+                b[k : k + 2] = ["".join(b[k : k + 2])]
+            elif len(b[k]) > 1:
+                b[k : k + 1] = [b[k][:1], b[k][1:]]
+        pairs.append((a, b))
+        rows += [(2 * i, p, w, "O", "train", "x") for p, w in enumerate(a)] + [(2 * i + 1, p, w, "O", "test", "x") for p, w in enumerate(b)]
+    df = spark.createDataFrame(rows, "sent_id long, pos int, word string, tag string, split string, source string")
+    want = set()
+    for i, (a, _) in enumerate(pairs):
+        for j, (_, b) in enumerate(pairs):
+            most = max(len(a), len(b)) // overlap.WORDS_PER_CHANGE
+            if overlap.changes(a, b, most) <= most:
+                want.add((min(2 * i, 2 * j + 1), max(2 * i, 2 * j + 1)))
+    assert {tuple(r) for r in overlap.overlaps(df).collect()} == want and len(want) > 60
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
