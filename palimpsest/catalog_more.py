@@ -21,7 +21,7 @@ from palimpsest.operators import verify as vf
 from palimpsest.operators.features import STOP_WORDS, Extractor
 from palimpsest.plans import pipeline
 from palimpsest.session import ensure_checkpoint_dir, table
-from palimpsest.sources import csvtext, vault
+from palimpsest.sources import vault
 from palimpsest.streaming import numbering
 from palimpsest.synth import generate
 from palimpsest.synth.template import parse
@@ -86,37 +86,18 @@ def strict_split(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count("anonymized").alias("clean"))
 
 
-@query("reconciled_views", "select * from (values (1, 'X', 0, 10), (1, 'Y', 20, 25), (2, 'X', 0, 4), (2, 'Y', 4, 6)) t(id, type, start, \"end\")")
+@query("reconciled_views")
 def reconciled_views(spark: SparkSession, d: str) -> DataFrame:
-    """Widest first, the first source on ties, what remains disjoint: on written cases."""
-    e = "array<struct<text:string,type:string,start:int,end:int,confidence:double>>"
-    rows = [(1, [("abcdefghij", "X", 0, 10, 1.0)], [("cde", "Y", 2, 5, 1.0), ("uvwxy", "Y", 20, 25, 1.0)]), (2, [("abcd", "X", 0, 4, 1.0)], [("abcd", "Z", 0, 4, 1.0), ("ef", "Y", 4, 6, 1.0)])]
-    df = spark.createDataFrame(rows, f"id int, a {e}, b {e}")
-    return df.select("id", F.inline(sp.reconcile(F.col("a"), F.col("b")))).select("id", "type", "start", "end")
+    """Two detections of every text, by the built-in detectors and by all: widest first, the first on ties, the rest disjoint."""
+    rows = texts(spark, d).where("text is not null").withColumn("a", dt.detect(F.col("text"), dt.BUILTIN)).withColumn("b", dt.detect(F.col("text")))
+    return rows.select("src", "rec_id", F.inline(sp.reconcile(F.col("a"), F.col("b")))).select("src", "rec_id", "type", "start", "end")
 
 
-@query("merged_spans", "select * from (values (1, 'Jean Dupont', 'PER', 0, 11), (2, 'Val', 'ORG', 0, 3), (2, 'x', 'PER', 4, 5)) t(id, text, type, start, \"end\")")
+@query("merged_spans")
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
-    e = "array<struct<text:string,type:string,start:int,end:int,confidence:double>>"
-    rows = [(1, [("Jean ", "PER", 0, 5, 0.9), ("Dupont", "PER", 5, 11, 0.5)]), (2, [("V", "ORG", 0, 1, 0.9), ("al", "LOC", 1, 3, 0.5), ("x", "PER", 4, 5, 0.5)])]
-    return spark.createDataFrame(rows, f"id int, a {e}").select("id", F.inline(sp.merge(F.col("a")))).select("id", "text", "type", "start", "end")
-
-
-@query("page_classes", "select * from (values (1, 'raster'), (2, 'hybrid'), (3, 'normal'), (4, 'normal')) t(id, class)")
-def page_classes(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(1, 0.9, 10, 0), (2, 0.5, 99, 40), (3, 0.9, 100, 40), (4, 0.4, 0, 9)], "id int, images double, visible int, invisible int")
-    return df.select("id", dc.page_class(F.col("images"), F.col("visible"), F.col("invisible")).alias("class"))
-
-
-@query("csv_header_cases", "select * from (values (1, ';', true), (2, ',', false), (3, chr(9), true), (4, ',', false)) t(id, separator, header)")
-def csv_header_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Separator and header of written documents."""
-    cases = [(1, "nom;ville\nPaul;Brest 2\n"), (2, "1,2\n3,4\n"), (3, "name\tmail\nx\ta@b.co\n"), (4, "a,b\nc,d\n")]
-    rows = []
-    for i, text in cases:
-        r = csvtext.read_rows(text)
-        rows.append((i, csvtext.sniff_separator(text), csvtext.looks_like_header(r[0], r[1])))
-    return spark.createDataFrame(rows, "id int, separator string, header boolean")
+    """The entities found in every text, contiguous ones taken together."""
+    rows = texts(spark, d).where("text is not null").withColumn("e", dt.detect(F.col("text")))
+    return rows.select("src", "rec_id", F.inline(sp.merge(sp.by_start(F.col("e"))))).select("src", "rec_id", "text", "type", "start", "end")
 
 
 # --- entity passes -------------------------------------------------------------------------------------------------------
@@ -147,13 +128,14 @@ def presets(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("completed_names", "select * from (values (1, 'Claire Martel'), (2, 'Hugo'), (3, 'Nora')) t(id, text)")
+@query("completed_names")
 def completed_names(spark: SparkSession, d: str) -> DataFrame:
-    e = "array<struct<text:string,type:string,start:int,end:int,confidence:double>>"
-    rows = [(1, "Claire Martel est là", [("Claire", "PER", 0, 6, 1.0)]), (2, "Hugo est là", [("Hugo", "PER", 0, 4, 1.0)]), (3, "Nora Brest", [("Nora", "PER", 0, 4, 1.0), ("Brest", "LOC", 5, 10, 1.0)])]
-    names, stop = F.array(F.lit("claire"), F.lit("hugo"), F.lit("nora")), F.array(F.lit("est"))
-    df = spark.createDataFrame(rows, f"id int, t string, e {e}")
-    return df.select("id", F.explode(fl.complete_names(F.col("t"), F.col("e"), names, stop)).alias("x")).where("x.type = 'PER'").select("id", "x.text")
+    """First names found in every request, grown by the name word that follows."""
+    stop = F.array(*[F.lit(w) for v in STOP_WORDS.values() for w in v.split()])
+    reqs = _once(spark, d).select("request_id", "text").join(F.broadcast(_first_names(spark, d)))
+    rows = reqs.withColumn("e", fl.detect_first_names(F.col("text"), sp.empty(), F.col("first_names")))
+    names = rows.select("request_id", F.explode(fl.complete_names(F.col("text"), F.col("e"), F.col("first_names"), stop)).alias("x"))
+    return names.where("x.type = 'PER'").select("request_id", "x.text", "x.start", "x.end")
 
 
 @query("blocklisted", "select type, count(*) as n from (select distinct response_id, e.type as type, e.text as text, e.confidence as c from (select response_id, unnest(entities) as e from responses)) where not (type = 'PER' and list_has_all(['claire','hugo','nora'], string_split_regex(lower(trim(text)), '[ ]+'))) group by type")

@@ -278,3 +278,67 @@ def test_brown_merges_lose_least():
         best = max(((a, b) for k, a in enumerate(words) for b in words[k + 1 :]), key=lambda p: information({w: p[0] if w == p[1] else w for w in words}))
         paths = brown.cluster([(w, 9 - k) for k, w in enumerate(words)], bi, 7)
         assert paths[best[0]][:-1] == paths[best[1]][:-1]
+
+
+SPANS = "array<struct<text:string,type:string,start:int,end:int,confidence:double>>"
+
+
+def test_reconcile_written_cases(spark):
+    rows = [(1, [("abcdefghij", "X", 0, 10, 1.0)], [("cde", "Y", 2, 5, 1.0), ("uvwxy", "Y", 20, 25, 1.0)]), (2, [("abcd", "X", 0, 4, 1.0)], [("abcd", "Z", 0, 4, 1.0), ("ef", "Y", 4, 6, 1.0)])]
+    df = spark.createDataFrame(rows, f"id int, a {SPANS}, b {SPANS}").select("id", F.inline(spans.reconcile(F.col("a"), F.col("b"))))
+    assert {tuple(r) for r in df.select("id", "type", "start", "end").collect()} == {(1, "X", 0, 10), (1, "Y", 20, 25), (2, "X", 0, 4), (2, "Y", 4, 6)}
+
+
+def test_merge_written_cases(spark):
+    rows = [(1, [("Jean ", "PER", 0, 5, 0.9), ("Dupont", "PER", 5, 11, 0.5)]), (2, [("V", "ORG", 0, 1, 0.9), ("al", "LOC", 1, 3, 0.5), ("x", "PER", 4, 5, 0.5)])]
+    df = spark.createDataFrame(rows, f"id int, a {SPANS}").select("id", F.inline(spans.merge(F.col("a"))))
+    assert {tuple(r) for r in df.select("id", "text", "type", "start", "end").collect()} == {(1, "Jean Dupont", "PER", 0, 11), (2, "Val", "ORG", 0, 3), (2, "x", "PER", 4, 5)}
+
+
+def test_page_class_written_cases(spark):
+    df = spark.createDataFrame([(1, 0.9, 10, 0), (2, 0.5, 99, 40), (3, 0.9, 100, 40), (4, 0.4, 0, 9)], "id int, images double, visible int, invisible int")
+    got = df.select("id", documents.page_class(F.col("images"), F.col("visible"), F.col("invisible")))
+    assert {tuple(r) for r in got.collect()} == {(1, "raster"), (2, "hybrid"), (3, "normal"), (4, "normal")}
+
+
+def test_csv_header_written_cases():
+    from palimpsest.sources import csvtext
+
+    for text, separator, header in (("nom;ville\nPaul;Brest 2\n", ";", True), ("1,2\n3,4\n", ",", False), ("name\tmail\nx\ta@b.co\n", "\t", True), ("a,b\nc,d\n", ",", False)):
+        r = csvtext.read_rows(text)
+        assert (csvtext.sniff_separator(text), csvtext.looks_like_header(r[0], r[1])) == (separator, header)
+
+
+def test_complete_names_written_cases(spark):
+    rows = [(1, "Claire Martel est là", [("Claire", "PER", 0, 6, 1.0)]), (2, "Hugo est là", [("Hugo", "PER", 0, 4, 1.0)]), (3, "Nora Brest", [("Nora", "PER", 0, 4, 1.0), ("Brest", "LOC", 5, 10, 1.0)])]
+    names, stop = F.array(F.lit("claire"), F.lit("hugo"), F.lit("nora")), F.array(F.lit("est"))
+    df = spark.createDataFrame(rows, f"id int, t string, e {SPANS}").select("id", F.explode(filters.complete_names(F.col("t"), F.col("e"), names, stop)).alias("x"))
+    assert {tuple(r) for r in df.where("x.type = 'PER'").select("id", "x.text").collect()} == {(1, "Claire Martel"), (2, "Hugo"), (3, "Nora")}
+
+
+def test_queries_of_spans_read_their_whole_tables(spark):
+    import __spark_entry__ as entry
+    from palimpsest import catalog
+    from palimpsest.session import table
+
+    d, names = "/root/testdata/sf0.001", entry.queries()
+    assert not {"page_classes", "csv_header_cases"} & set(names)
+    want = set()
+    for r in catalog.texts(spark, d).where("text is not null").withColumn("entities", dt.detect(F.col("text"))).collect():
+        kept = []
+        for e in sorted(r.entities, key=lambda e: e.start):
+            if kept and kept[-1][3] == e.start and (kept[-1][1] == e.type or e.type == "LOC"):
+                kept[-1] = (kept[-1][0] + e.text, kept[-1][1], kept[-1][2], e.end)
+            else:
+                kept.append((e.text, e.type, e.start, e.end))
+        want |= {(r.src, r.rec_id, *k) for k in kept}
+    assert {tuple(r) for r in names["merged_spans"](spark, d).collect()} == want and want
+    texts = {r.request_id: r.text for r in table(spark, d, "requests").collect()}
+    grown = names["completed_names"](spark, d).collect()
+    assert all(texts[r.request_id][r.start : r.end] == r.text for r in grown) and any(" " in r.text for r in grown)
+    last = {}
+    found = names["reconciled_views"](spark, d).collect()
+    for r in sorted(found, key=lambda r: (r.src, r.rec_id, r.start)):
+        assert r.start >= last.get((r.src, r.rec_id), 0)
+        last[r.src, r.rec_id] = r.end
+    assert {r.src for r in found} == {"documents", "requests"}
