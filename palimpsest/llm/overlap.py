@@ -2,14 +2,15 @@
 
 Exact prefix-filter bipartite join on rare shingles. A sentence is reduced to its letters and digits (case, accents,
 punctuation, blanks and look-alikes removed), so word segmentation plays no part, and cut into character shingles. A pair
-may differ in one word in eight of its longer sentence, which may have more words than the other: words added, or cut. The
-shingles that a sentence can lose are bounded, for each number of changes that some partner allows (`_levels`), by its
-longest words; with one order of all shingles, rare ones first, both sentences must then share a shingle among the first
-`lost + 1` of either at the pair's number of changes. Where the words are so short that no shingle need be left in either,
-short shingles do the same. Any one order gives the same result; rarity, which only keeps the join small, is read from
-counts of shingles in a fixed number of buckets. Evaluation prefixes are indexed, training prefixes probe them under a
-length and a position filter, and every candidate is verified by an alignment of words that lets words be joined or cut, up
-to JOINED more words on one side than the changes explain.
+may differ in one word in eight of its longer sentence, which may have some more words than the other: words joined or cut.
+
+The prefix of an evaluation sentence holds, for each number k of changes that some partner allows (`levels`), k + 1
+shingles of which no two touch one word: a changed or dropped word, or one put between two others, breaks one of them at
+most, so a partner within k changes holds one of the others unbroken. Of all such sets the rarest is taken, by counts of
+shingles over the whole training split. Rarity only keeps the join small; any set gives the same result. Prefixes are
+indexed and training sentences probe them with their shingles, under filters on length, number of words and position;
+a bitmap of fixed size of all prefixes keeps the other shingles of training sentences from being moved at all. Every
+candidate is verified by an alignment of words that lets words be joined or cut.
 
 Exact copies are taken together before the join and expanded after it, so a text that stands a million times in training
 is compared once.
@@ -18,6 +19,7 @@ is compared once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,19 +30,34 @@ from pyspark.sql import types as T
 from palimpsest.llm.canon import plain
 from palimpsest.session import checkpoint, table
 
-#: Characters of a shingle; one word in WORDS_PER_CHANGE may differ.
-SHINGLE, WORDS_PER_CHANGE = 10, 8
-#: Words that one sentence may have more than the other besides the changes; shingle where no longer one need be left.
-JOINED, SHORT = 4, 3
-#: Buckets of the frequency sketch.
-BUCKETS = 1 << 17
+#: One word in WORDS_PER_CHANGE may differ; words that one side may have more besides, at most half of the shorter side.
+WORDS_PER_CHANGE, JOINED = 8, 4
+#: Characters of a shingle: the longest that fit are the rarest; pairs of short words are left with the shortest.
+SIZES = (10, 6, 4, 2)
+#: Least and most binary digits of the number of buckets of the frequency sketch, and of bits of the bitmap of prefixes.
+SKETCH_BITS, BITMAP_BITS = (17, 22), (22, 26)
+#: Work (words times changes) up to which the rarest set is found exactly; longer sentences take the rarest of equal parts.
+EXACT_WORK = 60_000
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def bare_words(words: pd.Series) -> pd.Series:
-    """The letters and digits of each word, in comparable form; words without any are left out."""
-    return words.map(lambda ws: None if ws is None else [w for w in (_NOT_WORD.sub("", plain(x or "")) for x in ws) if w])
+def bare_words(rows: pd.Series) -> pd.Series:
+    """The letters and digits of each word of (pos, word) pairs in order, in comparable form; words without any are left
+    out, and of several words at a place the first counts."""
+
+    def one(pairs):
+        if pairs is None:
+            return None
+        out, last = [], None
+        for p in pairs:
+            if p["pos"] != last:
+                last = p["pos"]
+                if w := _NOT_WORD.sub("", plain(p["word"] or "")):
+                    out.append(w)
+        return out
+
+    return rows.map(one)
 
 
 def sentences(tokens: DataFrame) -> DataFrame:
@@ -48,69 +65,183 @@ def sentences(tokens: DataFrame) -> DataFrame:
 
     Repeated rows count once; null words, and rows without sent_id or pos, are left out. Tags play no part.
     """
-    rows = tokens.where("sent_id is not null and pos is not null and word is not null").groupBy("sent_id", "split", "pos").agg(F.min("word").alias("word"), F.min("source").alias("source"))
-    grouped = rows.groupBy("sent_id", "split").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"), F.min("source").alias("source"))
-    return grouped.select("sent_id", "split", "source", bare_words(F.transform("w", lambda x: x["word"])).alias("words"))
+    rows = tokens.where("sent_id is not null and pos is not null and word is not null")
+    grouped = rows.groupBy("sent_id", "split").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("w"), F.min("source").alias("source"))
+    return grouped.select("sent_id", "split", "source", bare_words("w").alias("words"))
 
 
-def _grams(words, size: int = SHINGLE, salt: str = "") -> dict[int, int]:
-    """Hash of each distinct shingle of a sentence with its position, or -1 if it stands there more than once."""
-    import xxhash
+def joined(n: int) -> int:
+    """Words that the other side may have more than `n` besides the changes."""
+    return min(JOINED, n // 2)
+
+
+def levels(n: int) -> range:
+    """The numbers of changes that a pair with a sentence of `n` words can be allowed.
+
+    At least one in WORDS_PER_CHANGE of its own words. A longer partner of m words allows k = m // WORDS_PER_CHANGE, and
+    m <= n + k + joined(n), or `changes` refuses the pair; so k * (WORDS_PER_CHANGE - 1) <= n + joined(n).
+    """
+    own = n // WORDS_PER_CHANGE
+    return range(own, max(own, (n + joined(n)) // (WORDS_PER_CHANGE - 1)) + 1)
 
-    s = "".join(words)
-    seen: dict[int, int] = {}
-    for i in range(max(1, len(s) - size + 1)):
-        g = xxhash.xxh64_intdigest(salt + s[i : i + size]) - (1 << 63)
-        seen[g] = -1 if g in seen else i
-    return seen
 
+def shingle_hashes(chars: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle that starts at each character."""
+    n = len(chars) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[j : j + n]
+    h += np.uint64(size) << np.uint64(57)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _buckets(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [g % BUCKETS for g in _grams(ws)])
 
+def _chars(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def whole_hash(words) -> int:
+    """Hash of a whole sentence: by it the sentences that allow no change are found."""
+    import xxhash
 
-def frequency_sketch(texts: DataFrame) -> np.ndarray:
-    """How many shingles of all texts fall into each of BUCKETS buckets: counted over everything, of fixed size."""
-    counts = texts.select(F.explode(_buckets("words")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int32)
+    return xxhash.xxh64_intdigest("".join(words))
+
+
+class Batch:
+    """The shingles of many sentences at once: flat arrays over all their characters."""
+
+    def __init__(self, rows: list[list[str]]):
+        self.lengths = np.array([sum(map(len, ws)) for ws in rows], np.int64)
+        self.counts = np.array([len(ws) for ws in rows], np.int64)
+        self.chars = _chars([w for ws in rows for w in ws])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.owner = np.repeat(np.arange(len(rows)), self.lengths)
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, sentence, position) of every shingle within one sentence."""
+        h = shingle_hashes(self.chars, size)
+        if not len(h):
+            return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owner = self.owner[: len(h)]
+        inside = owner == self.owner[size - 1 :]
+        at = np.flatnonzero(inside)
+        return h[at], owner[at], at - self.starts[owner[at]]
+
+
+def portions(batches: Iterator[pd.DataFrame], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, list[list[str]]]]:
+    """(keys, words) of rows, in portions of about `most` characters, so that long texts don't add up in memory."""
+    for rows in batches:
+        keys = rows["key"].to_numpy() if "key" in rows else np.arange(len(rows))
+        words, at, size = [], 0, 0
+        for ws in rows["words"]:
+            words.append(list(ws))
+            size += sum(map(len, ws))
+            if size >= most:
+                yield keys[at : at + len(words)], words
+                words, at, size = [], at + len(words), 0
+        if words:
+            yield keys[at:], words
+
+
+def bits_for(n: int, limits: tuple[int, int]) -> int:
+    return min(limits[1], max(limits[0], int(n).bit_length()))
+
+
+def frequency_sketch(words: DataFrame, bits: int) -> np.ndarray:
+    """How many shingles of all rows of `words` fall into each of 2**bits buckets: counted over everything, of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << bits, np.int64)
+        for _, words_ in portions(batches):
+            batch = Batch(words_)
+            for size in SIZES:
+                total += np.bincount((batch.shingles(size)[0] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"b": at.astype(np.int32), "n": total[at]})
+
+    counts = words.select("words").mapInPandas(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
     out[counts["b"].to_numpy(dtype=np.int64)] = counts["n"]
     return out
 
 
-def _levels(n: int) -> range:
-    """The numbers of changes that a pair with a sentence of `n` words can be allowed.
+def prefix(words: list[str], rank) -> list[tuple[int, int, int]]:
+    """(shingle, position, words // WORDS_PER_CHANGE of the partner): the shingles by which an evaluation sentence is found.
 
-    At least one in WORDS_PER_CHANGE of its own words. A longer partner of m words allows k = m // WORDS_PER_CHANGE, and
-    m <= n + k + JOINED, or `changes` refuses the pair; so k * (WORDS_PER_CHANGE - 1) <= n + JOINED.
+    `rank` gives the frequencies of an array of shingles.
     """
-    own = n // WORDS_PER_CHANGE
-    return range(own, max(own, (n + JOINED) // (WORDS_PER_CHANGE - 1)) + 1)
-
-
-def _lost(words, k: int, size: int = SHINGLE) -> int:
-    """The most shingles that `k` changed words can take from a sentence."""
-    return sum(sorted((len(w) + size - 1 for w in words), reverse=True)[:k]) + max(0, k - len(words)) * (size - 1)
-
-
-def prefix(words, side: str, rank) -> list[tuple[int, int, int]]:
-    """(shingle, position, level): the shingles by which a sentence is found, each with the fewest changes that need it."""
-    levels = _levels(len(words))
-    grams = sorted(_grams(words).items(), key=lambda x: (rank(x[0]), x[0]))
-    out, done = [], 0
-    for k in levels:
-        upto = min(len(grams), _lost(words, k) + 1)
-        out += [(g, p, k) for g, p in grams[done:upto]]
-        done = max(done, upto)
-    places = max(1, sum(map(len, words)) - SHINGLE + 1)
-    for k in levels:
-        if k and places <= _lost(words, k):
-            # no shingle need be left: by short ones, of which the sentence with more words always keeps some. They are kept
-            # apart by k and by the side that has more words, so that two short sentences do not meet
-            for longer in "et":
-                if (k == levels[0]) if longer == side else (k > levels[0] or longer == "e"):
-                    short = sorted(_grams(words, SHORT, f"{longer}{k} ").items())[: _lost(words, k, SHORT) + 1]
-                    out += [(g, p, k) for g, p in short]
+    n = len(words)
+    ks = levels(n)
+    out: list[tuple[int, int, int]] = []
+    ranges = None
+    for k in ks:
+        # partners for which k changes are allowed, by their number of words in eights
+        most = n + k + joined(n)
+        partners = range(max(0, n - k - JOINED) // WORDS_PER_CHANGE, k + 1) if k == ks[0] else [k] if k * WORDS_PER_CHANGE <= most else []
+        if not partners:
+            continue
+        if k == 0:
+            out.append((whole_hash(words), -1, 0))
+            continue
+        if ranges is None:
+            ranges = _rarest_by_range(words, rank)
+        for g, p in _disjoint(ranges, n, k + 1):
+            out += [(g, p, b) for b in partners]
+    return out
+
+
+def _rarest_by_range(words: list[str], rank) -> list[tuple[float, int, int, int, int]]:
+    """(frequency, first word, last word, shingle, position): the rarest shingle over each stretch of words."""
+    chars = _chars(words)
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    best: dict[tuple[int, int], tuple[float, int, int, int, int]] = {}
+    for size in SIZES:
+        h = shingle_hashes(chars, size)
+        if not len(h):
+            continue
+        for p, (g, f, a, b) in enumerate(zip(h.tolist(), rank(h).tolist(), of[: len(h)].tolist(), of[size - 1 :].tolist())):
+            x = (f, a, b, g, p)
+            if (a, b) not in best or f < best[a, b][0]:
+                best[a, b] = x
+    return sorted(best.values(), key=lambda x: (x[2], x))
+
+
+def _disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int) -> list[tuple[int, int]]:
+    """`need` (shingle, position) of which no two touch one word, of least total frequency."""
+    if n * need > EXACT_WORK:
+        # the rarest within each of `need` equal parts
+        parts: dict[int, tuple[float, int, int, int, int]] = {}
+        for x in ranges:
+            k = x[1] * need // n
+            if x[2] * need // n == k and (k not in parts or x < parts[k]):
+                parts[k] = x
+        return [(x[3], x[4]) for x in parts.values()]
+    inf = float("inf")
+    best = [[0.0] + [inf] * need]  # by number of words read, by number taken
+    take: list[list[tuple | None]] = [[None] * (need + 1)]
+    k = 0
+    for w in range(n):
+        row, back = best[-1][:], [None] * (need + 1)
+        while k < len(ranges) and ranges[k][2] == w:
+            x = ranges[k]
+            before = best[x[1]]
+            for c in range(need):
+                if before[c] + x[0] < row[c + 1]:
+                    row[c + 1], back[c + 1] = before[c] + x[0], x
+            k += 1
+        best.append(row)
+        take.append(back)
+    out = []
+    w, c = n, need
+    while c:
+        while take[w][c] is None:
+            w -= 1
+        x = take[w][c]
+        out.append((x[3], x[4]))
+        w, c = x[1], c - 1
     return out
 
 
@@ -120,102 +251,176 @@ def changes(a: list[str], b: list[str], most: int) -> int:
     Banded dynamic programming over words; up to three words of one side may stand for up to three of the other.
     """
     n, m = len(a), len(b)
-    band = most + JOINED
-    if abs(n - m) > band:
-        return most + 1
+    band = most + joined(min(n, m))
     big = most + 1
-    d = [[big] * (m + 1) for _ in range(n + 1)]
-    d[0][0] = 0
+    if abs(n - m) > band:
+        return big
+    wide = 2 * band + 1  # column j of row i stands at j - i + band
+    rows: list[list[int]] = []
     for i in range(n + 1):
-        lo, hi = max(0, i - band), min(m, i + band)
-        for j in range(lo, hi + 1):
-            best = d[i][j]
-            if i and d[i - 1][j] + 1 < best:
-                best = d[i - 1][j] + 1
-            if j and d[i][j - 1] + 1 < best:
-                best = d[i][j - 1] + 1
+        row = [big] * wide
+        for j in range(max(0, i - band), min(m, i + band) + 1):
+            at = j - i + band
+            best = 0 if not i and not j else big
+            if i and at + 1 < wide and rows[-1][at + 1] + 1 < best:
+                best = rows[-1][at + 1] + 1
+            if j and at and row[at - 1] + 1 < best:
+                best = row[at - 1] + 1
             if i and j:
-                x = d[i - 1][j - 1] + (a[i - 1] != b[j - 1])
+                x = rows[-1][at] + (a[i - 1] != b[j - 1])
                 if x < best:
                     best = x
                 if a[i - 1][-1] == b[j - 1][-1]:
                     for p, q in ((1, 2), (2, 1), (1, 3), (3, 1), (2, 2), (2, 3), (3, 2)):
-                        if i >= p and j >= q and d[i - p][j - q] < best and "".join(a[i - p : i]) == "".join(b[j - q : j]):
-                            best = d[i - p][j - q]
-            d[i][j] = best
-    return d[n][m]
+                        if i >= p and j >= q and 0 <= at + p - q < wide and rows[-p][at + p - q] < best and "".join(a[i - p : i]) == "".join(b[j - q : j]):
+                            best = rows[-p][at + p - q]
+            row[at] = best
+        rows = [*rows[-2:], row]
+        if min(map(min, rows)) >= big:
+            return big
+    return min(big, rows[-1][m - n + band])
+
+
+def alike(a: list[str], b: list[str]) -> bool:
+    """True if at most one word in WORDS_PER_CHANGE of the longer sentence differs."""
+    most = max(len(a), len(b)) // WORDS_PER_CHANGE
+    return a == b or changes(a, b, most) <= most
 
 
 @F.pandas_udf(T.BooleanType())
 def near(a: pd.Series, b: pd.Series) -> pd.Series:
-    def test(x, y):
-        x, y = list(x), list(y)
-        most = max(len(x), len(y)) // WORDS_PER_CHANGE
-        return changes(x, y, most) <= most
+    return pd.Series([alike(list(x), list(y)) for x, y in zip(a, b)])
 
-    return pd.Series([test(x, y) for x, y in zip(a, b)])
 
+def _spare(words, k: int) -> int:
+    """The most characters by which `k` changed words can move what stands behind them."""
+    return sum(sorted(map(len, words), reverse=True)[:k])
 
-def overlaps(tokens: DataFrame) -> DataFrame:
-    """(sent_id_a, sent_id_b): every training sentence with every dev or test sentence that equals it or nearly so.
 
-    Sentences without a letter or digit, or without split, match nothing. Two sentences of fewer than eight words match
-    only when equal. Empty tables give an empty result.
+_ROW = "key binary, gram bigint, pos int, eights int, chars int, spare int"
+
+
+def index_rows(texts: DataFrame, sketch) -> DataFrame:
+    """The prefixes of evaluation texts."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = sketch.value
+        rank = lambda h: counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+        for rows in batches:
+            out = []
+            for key, words in zip(rows["key"], rows["words"]):
+                words = list(words)
+                chars, spare = sum(map(len, words)), _spare(words, levels(len(words))[-1])
+                out += [(key, np.uint64(g).astype(np.int64), p, b, chars, spare) for g, p, b in dict.fromkeys(prefix(words, rank))]
+            yield pd.DataFrame(out, columns=["key", "gram", "pos", "eights", "chars", "spare"])
+
+    return texts.select("key", "words").mapInPandas(make, _ROW)
+
+
+def prefix_bitmap(index: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each residue of an indexed shingle: 2**bits of them, whatever the data."""
+    slot = F.col("gram").bitwiseAND((1 << bits) - 1)
+    words = index.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 31 as int))")).alias("x")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["x"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def probe_rows(texts: DataFrame, bitmap, bits: int) -> DataFrame:
+    """The shingles of training texts that the bitmap does not rule out, and the whole of those that allow no change."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table_ = bitmap.value
+        mask = np.uint64((1 << bits) - 1)
+
+        def hit(h: np.ndarray) -> np.ndarray:
+            slot = (h & mask).astype(np.int64)
+            return (table_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+        for keys, words in portions(batches):
+            batch = Batch(words)
+            eights = batch.counts // WORDS_PER_CHANGE
+            spare = np.array([_spare(ws, levels(len(ws))[-1]) for ws in words], np.int64)
+            short = np.flatnonzero(eights == 0)
+            found = [(np.array([whole_hash(words[i]) for i in short], np.uint64), short, np.full(len(short), -1))]
+            for size in SIZES:
+                h, owner, pos = batch.shingles(size)
+                at = np.flatnonzero(hit(h)) if len(h) else np.zeros(0, np.int64)
+                found.append((h[at], owner[at], pos[at]))
+            h, owner, pos = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"key": keys[owner], "gram": h.astype(np.int64), "pos": pos.astype(np.int32), "eights": eights[owner].astype(np.int32), "chars": batch.lengths[owner].astype(np.int32), "spare": spare[owner].astype(np.int32)})
+
+    return texts.select("key", "words").mapInPandas(make, _ROW)
+
+
+def matches(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sentences, pairs): every sentence with the key of its text and side, and the pairs of texts that overlap.
+
+    `sentences` has sent_id, split, source, side ('t' for train, 'e' for dev and test) and key; `pairs` has key_e and key_t.
     """
     side = F.when(F.col("split") == "train", "t").when(F.col("split").isin("dev", "test"), "e")
     # read again and again below, so both are written once to the shared folder
-    sents = checkpoint(sentences(tokens).where("size(words) > 0").withColumn("side", side).where("side is not null").select("sent_id", "side", "words", F.xxhash64(F.array_join("words", " ")).alias("key")))
+    sents = checkpoint(
+        sentences(tokens).where("size(words) > 0").withColumn("side", side).where("side is not null")
+        .select("sent_id", "split", "source", "side", "words", F.unhex(F.md5(F.array_join("words", " "))).alias("key"))
+    )
     # one row per distinct text of a side
     texts = checkpoint(sents.groupBy("side", "key").agg(F.first("words").alias("words")))
-    sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts))  # BUCKETS numbers, whatever the data
-
-    @F.pandas_udf(T.StructType([T.StructField("own", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("gram", T.LongType()), ("pos", T.IntegerType()), ("level", T.IntegerType()))])))]))
-    def first_grams(words: pd.Series, side: pd.Series) -> pd.DataFrame:
-        n = sketch.value
-        levels = [_levels(len(ws)) for ws in words]
-        # the most characters by which length and positions can differ
-        spare = [sum(sorted(map(len, ws), reverse=True)[: k[-1]]) for ws, k in zip(words, levels)]
-        kept = [[{"gram": g, "pos": p, "level": k} for g, p, k in prefix(ws, s, lambda g: n[g % BUCKETS])] for ws, s in zip(words, side)]
-        return pd.DataFrame({"own": [k[0] for k in levels], "spare": spare, "grams": kept})
-
-    about = ("key", "chars", "own", "spare", "pos", "level")
-    ranked = texts.select("side", "key", F.length(F.array_join("words", "")).alias("chars"), first_grams("words", "side").alias("f"))
-    prefixes = ranked.select("side", "key", "chars", "f.own", "f.spare", F.explode("f.grams").alias("g")).select("side", "key", "chars", "own", "spare", "g.*")
-    ev = prefixes.where("side = 'e'").select("gram", *[F.col(c).alias(f"{c}_e") for c in about])
-    tr = prefixes.where("side = 't'").select("gram", *[F.col(c).alias(f"{c}_t") for c in about])
-    slack, allowed = F.greatest("spare_e", "spare_t"), F.greatest("own_e", "own_t")
+    e, t = texts.where("side = 'e'"), texts.where("side = 't'")
+    sizes = {r.side: r.n for r in texts.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sc = texts.sparkSession.sparkContext
+    sketch = sc.broadcast(frequency_sketch(t, bits_for(sizes.get("t", 0), SKETCH_BITS)))
+    index = index_rows(e, sketch)
+    bits = bits_for(32 * sizes.get("e", 0), BITMAP_BITS)
+    probes = probe_rows(t, sc.broadcast(prefix_bitmap(index, bits)), bits)
+    a = index.select("gram", "eights", *[F.col(c).alias(f"{c}_e") for c in ("key", "chars", "spare", "pos")])
+    b = probes.select("gram", "eights", *[F.col(c).alias(f"{c}_t") for c in ("key", "chars", "spare", "pos")])
+    slack = F.greatest("spare_e", "spare_t")
     candidates = (
-        tr.join(ev, "gram")
-        .where((F.col("level_e") <= allowed) & (F.col("level_t") <= allowed) & (F.abs(F.col("chars_e") - F.col("chars_t")) <= slack))
-        .where((F.col("pos_e") < 0) | (F.col("pos_t") < 0) | (F.abs(F.col("pos_e") - F.col("pos_t")) <= slack))
+        b.join(a, ["gram", "eights"])
+        .where((F.abs(F.col("chars_e") - F.col("chars_t")) <= slack) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= slack))
         .select("key_e", "key_t")
         .distinct()
     )
-    a = texts.where("side = 'e'").select(F.col("key").alias("key_e"), F.col("words").alias("words_e"))
-    b = texts.where("side = 't'").select(F.col("key").alias("key_t"), F.col("words").alias("words_t"))
-    pairs = candidates.join(a, "key_e").join(b, "key_t").where((F.col("key_e") == F.col("key_t")) | near("words_e", "words_t")).select("key_e", "key_t")
+    of_e, of_t = e.select(F.col("key").alias("key_e"), F.col("words").alias("words_e")), t.select(F.col("key").alias("key_t"), F.col("words").alias("words_t"))
+    return sents, candidates.join(of_e, "key_e").join(of_t, "key_t").where(near("words_e", "words_t")).select("key_e", "key_t")
+
+
+def overlaps(tokens: DataFrame) -> DataFrame:
+    """(sent_id_a, sent_id_b): every training sentence with every dev or test sentence that equals it or nearly so.
+
+    Sentences without a letter or digit, or without split, match nothing. Two sentences of fewer than eight words match
+    only when equal up to word segmentation. Empty tables give an empty result. Columns beside the five that are read play
+    no part.
+    """
+    sents, pairs = matches(tokens)
     e = sents.where("side = 'e'").select(F.col("key").alias("key_e"), F.col("sent_id").alias("id_e"))
     t = sents.where("side = 't'").select(F.col("key").alias("key_t"), F.col("sent_id").alias("id_t"))
     return pairs.join(e, "key_e").join(t, "key_t").where("id_e <> id_t").select(F.least("id_e", "id_t").alias("sent_id_a"), F.greatest("id_e", "id_t").alias("sent_id_b")).distinct()
 
 
+def report(tokens: DataFrame) -> DataFrame:
+    """(eval_split, eval_source, train_source, pairs, eval_sentences): overlaps counted from classes of equal texts.
+
+    Copies are counted, not expanded into pairs: n and m copies of two texts are n times m pairs. A sentence that stands
+    in training under its own sent_id as well is no partner of itself.
+    """
+    sents, pairs = matches(tokens)
+    e = sents.where("side = 'e'").select(F.col("key").alias("key_e"), F.col("sent_id").alias("id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    t = sents.where("side = 't'").select(F.col("key").alias("key_t"), F.col("sent_id").alias("id"), F.col("source").alias("train_source"))
+    # partners of each evaluation text by training source
+    by_source = t.groupBy("key_t", "train_source").agg(F.count(F.lit(1)).alias("m"))
+    partners = pairs.join(by_source, "key_t").groupBy("key_e", "train_source").agg(F.sum("m").alias("m"))
+    # an id in both splits whose two texts overlap: one pair less
+    own = e.join(t, "id").join(pairs, ["key_e", "key_t"]).groupBy("id", "key_e", "eval_split", F.coalesce("train_source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("less"))
+    rows = e.join(partners, "key_e").withColumn("s", F.coalesce("train_source", F.lit(""))).join(own, ["id", "key_e", "eval_split", "s"], "left").withColumn("m", F.col("m") - F.coalesce("less", F.lit(0))).where("m > 0")
+    return rows.groupBy("eval_split", "eval_source", "train_source").agg(F.sum("m").alias("pairs"), F.count_distinct("id").alias("eval_sentences"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "annotated_tokens"))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping evaluation sentences and pairs by evaluation split, evaluation source and training source."""
-    tokens = table(spark, sf_dir, "annotated_tokens")
-    about = tokens.groupBy("sent_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    pairs = overlaps(tokens)
-    a = about.select(F.col("sent_id").alias("sent_id_a"), F.col("split").alias("split_a"), F.col("source").alias("source_a"))
-    b = about.select(F.col("sent_id").alias("sent_id_b"), F.col("split").alias("split_b"), F.col("source").alias("source_b"))
-    both = pairs.join(a, "sent_id_a").join(b, "sent_id_b")
-    first = F.col("split_a") == "train"
-    rows = both.select(
-        F.when(first, F.col("split_b")).otherwise(F.col("split_a")).alias("eval_split"),
-        F.when(first, F.col("source_b")).otherwise(F.col("source_a")).alias("eval_source"),
-        F.when(first, F.col("source_a")).otherwise(F.col("source_b")).alias("train_source"),
-        F.when(first, F.col("sent_id_b")).otherwise(F.col("sent_id_a")).alias("eval_id"),
-    )
-    return rows.groupBy("eval_split", "eval_source", "train_source").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("eval_id").alias("eval_sentences"))
+    return report(table(spark, sf_dir, "annotated_tokens"))

@@ -102,6 +102,50 @@ def test_overlaps_of_short_sentences(spark):
     assert {tuple(r) for r in overlap.overlaps(df).collect()} == want and len(want) > 60
 
 
+def test_prefixes_cover_every_partner():
+    """Stock sentences with few rare words, one word added, dropped, joined or cut, where another change becomes allowed: a
+    partner within the allowed changes always holds one of the prefix's shingles unbroken."""
+    rng = random.Random(2)
+    stock = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    frequency_ = lambda h: (h % 97).astype(float)
+    seen = 0
+    for _ in range(4000):
+        n = rng.choice([5, 7, 8, 15, 16, 23, 24, 40])
+        a = [rng.choice(stock) if rng.random() < 0.8 else "".join(rng.choice("xyz") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(1, 5)):
+            k, kind = rng.randrange(len(b)), rng.choice("adrjc")
+            if kind == "a":
+                b.insert(k, rng.choice(stock))
+            elif kind == "d" and len(b) > 1:
+                del b[k]
+            elif kind == "r":
+                b[k] = rng.choice(stock)
+            elif kind == "j":
+                b[k : k + 2] = ["".join(b[k : k + 2])]
+            elif len(b[k]) > 1:
+                b[k : k + 1] = [b[k][:1], b[k][1:]]
+        if not overlap.alike(a, b):
+            continue
+        seen += 1
+        eights = len(b) // overlap.WORDS_PER_CHANGE
+        have = {g for size in overlap.SIZES for g in overlap.shingle_hashes(overlap._chars(b), size).tolist()}
+        if not eights:
+            have.add(overlap.whole_hash(b))
+        assert any(g in have for g, _, partner in overlap.prefix(a, frequency_) if partner == eights)
+    assert seen > 1000
+
+
+def test_overlap_report_counts_copies(spark):
+    line = "the old mayor of the town sold nine hundred boxes of red ink".split()
+    other = [*line[:-1], "blue"]
+    sents = [(1, "train", "a", line), (2, "train", "a", line), (3, "train", None, other), (4, "dev", "b", line), (5, "dev", "b", other), (6, "test", "c", ["quite", "another"]), (7, "train", "a", line), (7, "dev", "b", line)]
+    df = spark.createDataFrame([(i, p, w, s, src, 1) for i, s, src, ws in sents for p, w in enumerate(ws)], "sent_id long, pos int, word string, split string, source string, key int")
+    got = {(r.eval_split, r.eval_source, r.train_source): (r.pairs, r.eval_sentences) for r in overlap.report(df).collect()}
+    assert got == {("dev", "b", "a"): (8, 3), ("dev", "b", None): (3, 3)}
+    assert len(overlap.overlaps(df).collect()) == 11
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
