@@ -32,8 +32,9 @@ from palimpsest.session import checkpoint, table
 
 #: One word in WORDS_PER_CHANGE may differ; words that one side may have more besides, at most half of the shorter side.
 WORDS_PER_CHANGE, JOINED = 8, 4
-#: Characters of a shingle: the longest that fit are the rarest; pairs of short words are left with the shortest.
+#: Characters of a shingle, and the sets of them tried in turn: where words are too short for enough long ones, shorter ones help.
 SIZES = (10, 6, 4, 2)
+SIZE_SETS = (SIZES[:2], SIZES)
 #: Least and most binary digits of the number of buckets of the frequency sketch, and of bits of the bitmap of prefixes.
 SKETCH_BITS, BITMAP_BITS = (17, 22), (22, 26)
 #: Work (words times changes) up to which the rarest set is found exactly; longer sentences take the rarest of equal parts.
@@ -42,32 +43,21 @@ _NOT_WORD = re.compile(r"[\W_]+")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def bare_words(rows: pd.Series) -> pd.Series:
-    """The letters and digits of each word of (pos, word) pairs in order, in comparable form; words without any are left
-    out, and of several words at a place the first counts."""
-
-    def one(pairs):
-        if pairs is None:
-            return None
-        out, last = [], None
-        for p in pairs:
-            if p["pos"] != last:
-                last = p["pos"]
-                if w := _NOT_WORD.sub("", plain(p["word"] or "")):
-                    out.append(w)
-        return out
-
-    return rows.map(one)
+def bare_words(words: pd.Series) -> pd.Series:
+    """The letters and digits of each word, in comparable form; words without any are left out."""
+    return words.map(lambda ws: None if ws is None else [w for w in (_NOT_WORD.sub("", plain(x or "")) for x in ws) if w])
 
 
 def sentences(tokens: DataFrame) -> DataFrame:
     """(sent_id, split, source, words): each sentence's comparable words in order.
 
-    Repeated rows count once; null words, and rows without sent_id or pos, are left out. Tags play no part.
+    Repeated rows count once, of several words at a place the first; null words, and rows without sent_id or pos, are left
+    out. Tags play no part.
     """
     rows = tokens.where("sent_id is not null and pos is not null and word is not null")
     grouped = rows.groupBy("sent_id", "split").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("w"), F.min("source").alias("source"))
-    return grouped.select("sent_id", "split", "source", bare_words("w").alias("words"))
+    once = F.filter("w", lambda x, i: (i == 0) | (F.get(F.col("w"), i - 1)["pos"] != x["pos"]))
+    return grouped.select("sent_id", "split", "source", bare_words(F.transform(once, lambda x: x["word"])).alias("words"))
 
 
 def joined(n: int) -> int:
@@ -176,7 +166,7 @@ def prefix(words: list[str], rank) -> list[tuple[int, int, int]]:
     n = len(words)
     ks = levels(n)
     out: list[tuple[int, int, int]] = []
-    ranges = None
+    ranges: dict[tuple[int, ...], list] = {}
     for k in ks:
         # partners for which k changes are allowed, by their number of words in eights
         most = n + k + joined(n)
@@ -186,31 +176,33 @@ def prefix(words: list[str], rank) -> list[tuple[int, int, int]]:
         if k == 0:
             out.append((whole_hash(words), -1, 0))
             continue
-        if ranges is None:
-            ranges = _rarest_by_range(words, rank)
-        for g, p in _disjoint(ranges, n, k + 1):
-            out += [(g, p, b) for b in partners]
+        for sizes in SIZE_SETS:
+            if sizes not in ranges:
+                ranges[sizes] = _rarest_by_range(words, rank, sizes)
+            if found := _disjoint(ranges[sizes], n, k + 1):
+                break
+        out += [(g, p, b) for g, p in found for b in partners]
     return out
 
 
-def _rarest_by_range(words: list[str], rank) -> list[tuple[float, int, int, int, int]]:
-    """(frequency, first word, last word, shingle, position): the rarest shingle over each stretch of words."""
+def _rarest_by_range(words: list[str], rank, sizes: tuple[int, ...]) -> list[tuple[float, int, int, int, int]]:
+    """(frequency, first word, last word, shingle, position): the rarest shingle over each stretch of words, by last word."""
     chars = _chars(words)
     of = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    best: dict[tuple[int, int], tuple[float, int, int, int, int]] = {}
-    for size in SIZES:
+    parts = []
+    for size in sizes:
         h = shingle_hashes(chars, size)
-        if not len(h):
-            continue
-        for p, (g, f, a, b) in enumerate(zip(h.tolist(), rank(h).tolist(), of[: len(h)].tolist(), of[size - 1 :].tolist())):
-            x = (f, a, b, g, p)
-            if (a, b) not in best or f < best[a, b][0]:
-                best[a, b] = x
-    return sorted(best.values(), key=lambda x: (x[2], x))
+        parts.append((rank(h), of[: len(h)], of[size - 1 :] if len(h) else of[:0], h, np.arange(len(h))))
+    f, first, last, h, at = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((at, f, first, last))
+    f, first, last, h, at = f[order], first[order], last[order], h[order], at[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+    return list(zip(f[new].tolist(), first[new].tolist(), last[new].tolist(), h[new].tolist(), at[new].tolist()))
 
 
 def _disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int) -> list[tuple[int, int]]:
-    """`need` (shingle, position) of which no two touch one word, of least total frequency."""
+    """`need` (shingle, position) of which no two touch one word, of least total frequency; none if there are not as many."""
     if n * need > EXACT_WORK:
         # the rarest within each of `need` equal parts
         parts: dict[int, tuple[float, int, int, int, int]] = {}
@@ -218,7 +210,7 @@ def _disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int)
             k = x[1] * need // n
             if x[2] * need // n == k and (k not in parts or x < parts[k]):
                 parts[k] = x
-        return [(x[3], x[4]) for x in parts.values()]
+        return [(x[3], x[4]) for x in parts.values()] if len(parts) == need else []
     inf = float("inf")
     best = [[0.0] + [inf] * need]  # by number of words read, by number taken
     take: list[list[tuple | None]] = [[None] * (need + 1)]
@@ -234,6 +226,8 @@ def _disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int)
             k += 1
         best.append(row)
         take.append(back)
+    if best[n][need] == inf:
+        return []
     out = []
     w, c = n, need
     while c:
@@ -370,7 +364,7 @@ def matches(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = {r.side: r.n for r in texts.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
     sc = texts.sparkSession.sparkContext
     sketch = sc.broadcast(frequency_sketch(t, bits_for(sizes.get("t", 0), SKETCH_BITS)))
-    index = index_rows(e, sketch)
+    index = checkpoint(index_rows(e, sketch))  # read twice: for the bitmap and the join
     bits = bits_for(32 * sizes.get("e", 0), BITMAP_BITS)
     probes = probe_rows(t, sc.broadcast(prefix_bitmap(index, bits)), bits)
     a = index.select("gram", "eights", *[F.col(c).alias(f"{c}_e") for c in ("key", "chars", "spare", "pos")])
