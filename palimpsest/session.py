@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is set only where none is configured (tests)."""
+    """The shared checkpoint folder that the session names in `spark.checkpoint.dir`.
+
+    Only a session in one process (tests, benchmarks) gets a temporary folder where none is named; on a cluster, whose
+    machines would each see another folder, that is an error.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = configured or tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
+        path = tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
     sc.setCheckpointDir(path)
     return path
 
@@ -45,9 +53,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 3) -> DataFrame:
-    """Spread a scan with fewer partitions than cores before a stage that is heavy on CPU.
+    """Spread an input of fewer partitions than cores before a stage that is heavy on CPU; the rows are the same.
 
-    Large inputs already come in enough partitions and pass unchanged, so nothing is shuffled there.
+    The number of partitions is estimated from the size of what is scanned, so nothing is run to learn it. Large inputs
+    come in enough partitions and pass unchanged: nothing is shuffled there.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(factor * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    scanned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(factor * cores) if scanned < 2 * cores * most else df
