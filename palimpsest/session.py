@@ -60,6 +60,6 @@ def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    scanned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    scanned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df.repartition(factor * cores) if scanned < 2 * cores * most else df
