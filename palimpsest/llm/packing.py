@@ -4,7 +4,8 @@ Items of one size are interchangeable, so an instance is its histogram of sizes:
 number of items. On it, the Martello-Toth reduction fixes every container that provably dominates all alternatives for the
 largest item, many equal ones at a time, until nothing more can be fixed; best-fit decreasing fills the remainder. The plan
 is a list of (pattern, multiplicity), again bounded by the capacity. Items then find their container by their rank among
-the items of their size, which is counted in salted groups so that a size held by a third of all items is no hot group.
+the items of their size, which is counted in salted groups, as many as the histogram asks for, so that a size held by a
+third of all items is no hot group.
 
 An item above the capacity is cut into full pieces, each a container of its own, and a rest that is packed like others.
 """
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.session import table
+from palimpsest.session import checkpoint, table
 
-SALTS = 64
+#: Items of one size that are ranked together; rows of a plan up to which it is broadcast.
+GROUP, BROADCAST_ROWS = 200_000, 100_000
 #: Words and runs of other signs, as the public WordPunct rule has them, with Unicode letters and digits.
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85   -     　]+"
 
@@ -98,29 +100,42 @@ def _below(bag: _Bag, size: int) -> int | None:
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """(pattern, multiplicity) of containers holding a multiset of sizes, none above the capacity."""
+    """(pattern, multiplicity) of containers holding a multiset of sizes, none above the capacity.
+
+    Every dominance is shown against all items not yet packed, those included for which nothing could be fixed so far; after
+    a pass that fixed something those are tried again. Never takes more containers than best-fit decreasing alone: where the
+    remainder happens to fit worse than the whole, the whole is taken.
+    """
     bag = _Bag(counts)
     plan: list[tuple[Pattern, int]] = []
-    held: dict[int, int] = {}  # sizes for which nothing could be fixed: left to best fit
-    while bag.sizes:
-        w = bag.sizes[-1]
-        bag.take(w, 1)
-        mates = _dominating(bag, w, capacity)
-        bag.give(w, 1)
-        if mates is None:
-            n = bag.count[w]
-            held[w] = n
-            bag.take(w, n)
-            continue
-        need: dict[int, int] = {}
-        for s in (w, *mates):
-            need[s] = need.get(s, 0) + 1
-        # the same step again and again, until one of its sizes runs short
-        times = min(bag.count[s] // q for s, q in need.items())
-        for s, q in need.items():
-            bag.take(s, q * times)
-        plan.append((tuple(sorted(need.items(), reverse=True)), times))
-    return plan + best_fit(held, capacity)
+    fixed = True
+    while fixed:
+        fixed = False
+        w = bag.sizes[-1] if bag.sizes else None
+        while w is not None:
+            bag.take(w, 1)
+            mates = _dominating(bag, w, capacity)
+            bag.give(w, 1)
+            if mates is not None:
+                need: dict[int, int] = {}
+                for s in (w, *mates):
+                    need[s] = need.get(s, 0) + 1
+                # the same step again and again, until one of its sizes runs short
+                times = min(bag.count[s] // q for s, q in need.items())
+                for s, q in need.items():
+                    bag.take(s, q * times)
+                plan.append((tuple(sorted(need.items(), reverse=True)), times))
+                fixed = True
+                if w in bag.count:
+                    continue
+            w = _below(bag, w)
+    plan += best_fit(bag.count, capacity)
+    plain = best_fit({s: n for s, n in counts.items() if s > 0 and n > 0}, capacity)
+    return plan if containers_in(plan) <= containers_in(plain) else plain
+
+
+def containers_in(plan: list[tuple[Pattern, int]]) -> int:
+    return sum(n for _, n in plan)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -164,13 +179,13 @@ def sizes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.when(F.col("n_tokens") >= 0, F.col("n_tokens")).otherwise(counted).cast("int").alias("n")).where("doc_id is not null")
 
 
-def pieces(documents: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+def pieces(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """(container_kind, capacity, doc_id, piece_no, n): what is to be packed, once for each kind of container.
 
     Only documents above the capacity come in several pieces.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds]))
-    items = sizes(documents).select("doc_id", "n", each.alias("k")).select("k.container_kind", "k.capacity", "doc_id", "n")
+    items = items.select("doc_id", "n", each.alias("k")).select("k.container_kind", "k.capacity", "doc_id", "n")
     number = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity"))).cast("int")
     cut = items.select("container_kind", "capacity", "doc_id", "n", F.explode(F.sequence(F.lit(0), number - 1)).alias("piece_no"))
     return cut.select("container_kind", "capacity", "doc_id", "piece_no", F.least(F.col("capacity"), F.col("n") - F.col("piece_no") * F.col("capacity")).alias("n"))
@@ -180,16 +195,17 @@ def pack(documents: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, container_no, doc_id, piece_no, n_tokens): where every piece of every document goes.
 
     Containers are numbered from 1 in each kind. Documents without tokens take no room and go to container 1. Kinds without
-    a positive capacity are left out; no document is lost for any other. Repeated document rows are packed once.
+    a positive capacity are left out; no document is lost for any other, but rows without doc_id are left out. Repeated
+    document rows are packed once, with the largest of their sizes.
     """
     spark = documents.sparkSession
     kinds = [(r.container_kind, r.capacity) for r in containers.where("capacity > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity").alias("capacity")).orderBy("container_kind").collect()]
     if not kinds:
         return spark.createDataFrame([], "container_kind string, container_no bigint, doc_id bigint, piece_no int, n_tokens int")
-    items = pieces(documents.select("doc_id", "text", "n_tokens").dropDuplicates(["doc_id"]), kinds).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int"))
-    groups = items.groupBy("container_kind", "n", "salt").agg(F.count(F.lit(1)).alias("m"))
+    # texts are read once and left behind; identifiers and sizes are read thrice below
+    items = pieces(checkpoint(sizes(documents).groupBy("doc_id").agg(F.max("n").alias("n"))), kinds)
     histogram: dict[str, dict[int, int]] = {k: {} for k, _ in kinds}
-    for r in groups.groupBy("container_kind", "n").agg(F.sum("m").alias("m")).collect():  # at most `capacity` rows a kind
+    for r in items.groupBy("container_kind", "n").agg(F.count(F.lit(1)).alias("m")).collect():  # at most `capacity` rows a kind
         histogram[r.container_kind][r.n] = r.m
     rows = []
     for kind, capacity in kinds:
@@ -202,11 +218,16 @@ def pack(documents: DataFrame, containers: DataFrame) -> DataFrame:
                 used[s] = lo + q * times
                 by_size.setdefault(s, []).append((lo, lo + q * times, no, q))
             no += times
-        rows += [(kind, s, v) for s, v in by_size.items()]
-    plan = spark.createDataFrame(rows, "container_kind string, n int, parts array<struct<lo:bigint,hi:bigint,first:bigint,each:bigint>>")
+        rows += [(kind, s, 1 + histogram[kind].get(s, 0) // GROUP, v) for s, v in by_size.items()]
+    plan = spark.createDataFrame(rows, "container_kind string, n int, salts int, parts array<struct<lo:bigint,hi:bigint,first:bigint,each:bigint>>")
+    if len(rows) <= BROADCAST_ROWS:  # one row for each size of each kind; else Spark joins as it sees fit
+        plan = F.broadcast(plan)
+    # items of one size are ranked in groups of about GROUP
+    salted = items.join(plan.select("container_kind", "n", "salts"), ["container_kind", "n"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("salts").cast("bigint")).cast("int"))
+    groups = salted.groupBy("container_kind", "n", "salt").agg(F.count(F.lit(1)).alias("m"))
     offsets = groups.withColumn("before", F.sum("m").over(Window.partitionBy("container_kind", "n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("container_kind", "n", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("container_kind", "n", "salt").orderBy("doc_id", "piece_no")) - 1
-    placed = items.withColumn("rank", rank).join(offsets, ["container_kind", "n", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).join(plan, ["container_kind", "n"])
+    placed = salted.withColumn("rank", rank).join(offsets, ["container_kind", "n", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).join(plan.select("container_kind", "n", "parts"), ["container_kind", "n"])
     part = F.element_at(F.filter("parts", lambda p: (F.col("rank") >= p["lo"]) & (F.col("rank") < p["hi"])), 1)
     return placed.withColumn("part", part).select(
         "container_kind", (F.col("part.first") + F.expr("(rank - part.lo) div part.each")).alias("container_no"), "doc_id", "piece_no", F.col("n").alias("n_tokens")
@@ -221,4 +242,4 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used, tokens packed and the share of room used, by kind."""
     kinds = table(spark, sf_dir, "containers")
     by = p7_pack(spark, sf_dir).groupBy("container_kind").agg(F.count_distinct("container_no").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return by.join(F.broadcast(kinds), "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))
+    return by.join(kinds.where("capacity > 0").groupBy("container_kind").agg(F.max("capacity").alias("capacity")), "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))

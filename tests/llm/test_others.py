@@ -162,6 +162,33 @@ def test_leaks(spark):
     assert got == {(1, 0), (1, 50), (4, 3)}
 
 
+def test_leaks_against_brute_force(spark):
+    """Windows with words replaced, dropped and added, in passages of several lengths, some of common words."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    ps = [[rng.choice(words) for _ in range(rng.choice([6, 12, 20, 23, 40]))] for _ in range(14)]
+    docs = []
+    for i in range(160):
+        p = rng.choice(ps)
+        n = min(len(p), rng.choice([18, 20, 22, 30]))
+        at = rng.randrange(len(p) - n + 1)
+        part = p[at : at + n]
+        for _ in range(rng.randint(0, 3)):
+            k, kind = rng.randrange(len(part)), rng.choice("rda")
+            part[k : k + 1] = {"r": ["zzz"], "d": [], "a": [part[k], "zzz"]}[kind]
+            part = part or ["zzz"]
+        docs.append((i, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 30))), *part, *(rng.choice(words) for _ in range(rng.randint(0, 30)))])))
+    want = set()
+    for i, text in docs:
+        for k, p in enumerate(ps):
+            n = min(len(p), leakage.WINDOW)
+            if any(leakage.within(p[s : s + n], text.split(), leakage.allowed(len(p))) for s in range(len(p) - n + 1)):
+                want.add((i, k))
+    block = leakage.Passages([([k], p) for k, p in enumerate(ps)])
+    got = {tuple(r) for r in leakage._leaks_of(spark.createDataFrame(docs, "doc_id long, text string"), block).distinct().collect()}
+    assert got == want and 60 < len(want) < len(docs) * 2
+
+
 def _best(items, capacity):
     n = len(items)
     best = [(1, 0)] + [(n + 1, 0)] * ((1 << n) - 1)
@@ -188,8 +215,32 @@ def test_packing_near_optimum():
             for s, q in pattern:
                 packed[s] = packed.get(s, 0) + q * times
         assert packed == counts
-        extra += sum(t for _, t in plan) - _best(items, capacity)
-    assert extra <= 12
+        assert packing.containers_in(plan) <= packing.containers_in(packing.best_fit(counts, capacity))
+        extra += packing.containers_in(plan) - _best(items, capacity)
+    assert extra <= 1
+
+
+def test_packing_dominance_is_exact():
+    """What the reduction fixes belongs to some optimum: fixed containers and the optimum of the rest make the optimum."""
+    rng = random.Random(8)
+    fixed = 0
+    for _ in range(400):
+        capacity = rng.choice([20, 36, 50])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(2, 9))]
+        bag = packing._Bag({x: items.count(x) for x in items})
+        w = rng.choice(bag.sizes)
+        bag.take(w, 1)
+        mates = packing._dominating(bag, w, capacity)
+        if mates is None:
+            continue
+        fixed += 1
+        rest = list(items)
+        for x in (w, *mates):
+            rest.remove(x)
+        assert w + sum(mates) <= capacity
+        assert 1 + (_best(rest, capacity) if rest else 0) == _best(items, capacity)
+    assert fixed > 200
+    assert packing.containers_in(packing.solve({7: 2, 6: 1, 4: 1}, 36)) == 1
 
 
 def test_packing_rows(spark):
