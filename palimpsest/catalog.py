@@ -19,7 +19,7 @@ from palimpsest.operators import spans as sp
 from palimpsest.operators import tags as tg
 from palimpsest.operators import tokens as tk
 from palimpsest.operators import verify as vf
-from palimpsest.session import table
+from palimpsest.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,11 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(_once(spark, d).select(F.lit("requests").alias("src"), F.col("request_id").alias("rec_id"), "text"))
 
 
+def spread_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The same, over all cores where few files hold them: for the whole catalogue of detectors."""
+    return spread(texts(spark, d).where("text is not null"))
+
+
 def _detector(name: str, pattern: str, group: int = 0) -> None:
     sql = f"with {_TEXTS}, m as (select src, rec_id, unnest(regexp_extract_all(text, {_lit(pattern)}, {group})) as value from texts) select src, rec_id, value, count(*) as n from m group by src, rec_id, value"
 
@@ -82,7 +87,7 @@ _LUHN = "list_sum([case when i % 2 = 1 then (case when cast(substr(reverse({d}),
 @query("entity_counts_by_type")
 def entity_counts_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Entities of the whole catalogue by source and type, with the records that hold them."""
-    rows = dt.entity_rows(texts(spark, d), ["src", "rec_id"])
+    rows = dt.entity_rows(spread_texts(spark, d), ["src", "rec_id"])
     return rows.groupBy("src", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rec_id").alias("records"))
 
 
@@ -146,20 +151,20 @@ def numbering_per_session(spark: SparkSession, d: str) -> DataFrame:
 
 @query("anonymize_tag")
 def anonymize_tag(spark: SparkSession, d: str) -> DataFrame:
-    rows = dt.with_entities(texts(spark, d))
+    rows = dt.with_entities(spread(texts(spark, d)))
     return an.anonymize(rows, mark=an.nonce(F.col("src"), F.col("rec_id"))).select("src", "rec_id", "anonymized", F.size("mapping").alias("mapped"))
 
 
 @query("anonymize_keyed")
 def anonymize_keyed(spark: SparkSession, d: str) -> DataFrame:
-    rows = dt.with_entities(texts(spark, d), detectors=dt.BUILTIN)
+    rows = dt.with_entities(spread(texts(spark, d)), detectors=dt.BUILTIN)
     return an.anonymize(rows, strategy="keyed", key=KEY).select("src", "rec_id", "anonymized")
 
 
 @query("roundtrip_ok", f"with {_TEXTS} select src, count(*) as n, cast(0 as bigint) as broken from texts where text is not null group by src")
 def roundtrip_ok(spark: SparkSession, d: str) -> DataFrame:
     """Restoring gives back every text, but for the case of an owner that a later occurrence shares."""
-    rows = an.anonymize(dt.with_entities(texts(spark, d).where("text is not null"), detectors=dt.BUILTIN), mark=an.nonce(F.col("src"), F.col("rec_id")))
+    rows = an.anonymize(dt.with_entities(spread_texts(spark, d), detectors=dt.BUILTIN), mark=an.nonce(F.col("src"), F.col("rec_id")))
     ok = F.lower(an.deanonymize(F.col("anonymized"), F.col("mapping"))) == F.lower("text")
     return rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(ok, 0).otherwise(1)).cast("long").alias("broken"))
 
@@ -167,7 +172,7 @@ def roundtrip_ok(spark: SparkSession, d: str) -> DataFrame:
 @query("residual_leaks")
 def residual_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaks left in outputs of the whole catalogue, by kind and type."""
-    rows = dt.with_entities(texts(spark, d).where("text is not null"))
+    rows = dt.with_entities(spread_texts(spark, d))
     out = an.anonymize(rows, mark=an.nonce(F.col("src"), F.col("rec_id")), expose_secrets=True)
     return vf.leaks_by_kind(vf.verify(out))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.catalog import _ANN, _OK, KEY, _lit, _once, annotated, gazetteer, query, texts
+from palimpsest.catalog import _ANN, _OK, KEY, _lit, _once, annotated, gazetteer, query, spread_texts
 from palimpsest.functions import text as tx
 from palimpsest.operators import anonymize as an
 from palimpsest.operators import brown, crf, langid
@@ -82,21 +82,21 @@ def unwritable_regions(spark: SparkSession, d: str) -> DataFrame:
 @query("strict_split")
 def strict_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows that strict mode lets out and refuses."""
-    out = pipeline.run(texts(spark, d).where("text is not null"), pipeline.Options(strict=True), ids=["src", "rec_id"])
+    out = pipeline.run(spread_texts(spark, d), pipeline.Options(strict=True), ids=["src", "rec_id"])
     return out.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count("anonymized").alias("clean"))
 
 
 @query("reconciled_views")
 def reconciled_views(spark: SparkSession, d: str) -> DataFrame:
     """Two detections of every text, by the built-in detectors and by all: widest first, the first on ties, the rest disjoint."""
-    rows = texts(spark, d).where("text is not null").withColumn("a", dt.detect(F.col("text"), dt.BUILTIN)).withColumn("b", dt.detect(F.col("text")))
+    rows = spread_texts(spark, d).withColumn("a", dt.detect(F.col("text"), dt.BUILTIN)).withColumn("b", dt.detect(F.col("text")))
     return rows.select("src", "rec_id", F.inline(sp.reconcile(F.col("a"), F.col("b")))).select("src", "rec_id", "type", "start", "end")
 
 
 @query("merged_spans")
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
     """The entities found in every text, contiguous ones taken together."""
-    rows = texts(spark, d).where("text is not null").withColumn("e", dt.detect(F.col("text")))
+    rows = spread_texts(spark, d).withColumn("e", dt.detect(F.col("text")))
     return rows.select("src", "rec_id", F.inline(sp.merge(sp.by_start(F.col("e"))))).select("src", "rec_id", "text", "type", "start", "end")
 
 

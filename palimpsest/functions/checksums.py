@@ -65,7 +65,8 @@ def nir(s: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.substring(d, 1, 13), "2A", "19"), "2B", "18")
     month = F.substring(d, 4, 2).try_cast("int")
     shaped = d.rlike(r"^[1-478]\d{4}(?:\d{2}|2[AB])\d{8}$")
-    ok_month = month.between(1, 12) | month.between(20, 42) | (month >= 50)
+    # 20 is an unknown month; 30 to 42 and from 50 on are births recorded abroad
+    ok_month = month.between(1, 12) | (month == 20) | month.between(30, 42) | (month >= 50)
     key = F.lit(97) - body.try_cast("bigint") % 97
     return F.coalesce(shaped & ok_month & (F.substring(d, 6, 2) != "00") & (key == F.substring(d, 14, 2).try_cast("bigint")), F.lit(False))
 

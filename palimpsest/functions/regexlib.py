@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: A word boundary between ASCII word characters, whatever stands around it.
 ASCII_B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-#: Private-use sign that marks match borders; a source text's own ones are read as blanks.
+#: Private-use sign that marks match borders; a source text's own ones are searched as another private-use sign.
 MARK = ""
+OTHER = "\ue001"
 SPAN = "struct<text:string,start:int,end:int>"
 _SPACE = r"[\t\n\f\r ]"
 
@@ -35,12 +36,14 @@ def find_all(text: Column, pattern: str | Column, marked: str = "$0", prefix: st
 
     `prefix` and `marked` say what of a match is outside and inside the span, as replacement groups.
     """
-    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(f"{prefix}{MARK}{marked}{MARK}")), MARK, -1)
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(f"{prefix}{MARK}{marked}{MARK}")), MARK, -1)
     start = F.expr(f"named_struct('at', 0, 'inside', false, 'spans', cast(array() as array<{SPAN}>))")
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
-        span = F.struct(piece.alias("text"), acc["at"].alias("start"), end.alias("end"))
+        # the span's text is that of the source, its own private-use signs included
+        own = F.when(F.contains(piece, F.lit(OTHER)), F.substring(text, acc["at"] + 1, F.length(piece))).otherwise(piece)
+        span = F.struct(own.alias("text"), acc["at"].alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["spans"])

@@ -13,22 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import checksums
-from palimpsest.functions.regexlib import find_all, translate
+from palimpsest.functions.regexlib import SPAN, find_all, translate
 from palimpsest.operators import spans
 
 
 @dataclass(frozen=True)
 class Detector:
-    """A pattern in the automaton dialect. If `outside` is set, the pattern has two groups: what precedes the span, the span."""
+    """A pattern in the automaton dialect. If `outside` is set, the pattern has two groups: what precedes the span, the span.
+
+    `needs` is a cheap expression, for Spark, that every text with a match holds: the others are not searched.
+    """
 
     type: str
     pattern: str
     confidence: float = 1.0
     validate: Callable[[Column], Column] | None = None
     outside: bool = False
+    needs: str = ""
 
     def matches(self, text: Column) -> Column:
         found = find_all(text, translate(self.pattern), "$2", "$1") if self.outside else find_all(text, translate(self.pattern))
+        if self.needs:
+            found = F.when(text.rlike(self.needs), found).otherwise(spans.empty(f"array<{SPAN}>"))
         if self.validate is not None:
             found = F.filter(found, lambda x: self.validate(x["text"]))
         return F.transform(found, lambda x: F.struct(x["text"].alias("text"), F.lit(self.type).alias("type"), x["start"].alias("start"), x["end"].alias("end"), F.lit(self.confidence).alias("confidence")))
@@ -65,24 +71,24 @@ SECRET_KV = r"(?im)(^(?:[a-zA-Z_]\w*)?(?:password|passphrase|passwd|pass|credent
 SIREN_IN_CONTEXT = r"(?i)(\b(?:SIREN|R\.?C\.?S\.?|SIRET)\b[\s:n°.-]*(?:[\p{Lu}][\p{L}'-]+\s+){0,2})(\d{9}\b)"
 
 BUILTIN = [
-    Detector("EMAIL", EMAIL),
-    Detector("IPV6", IPV6),
-    Detector("IPV4", IPV4),
-    Detector("IBAN", IBAN, validate=checksums.iban),
-    Detector("SIRET", SIRET, validate=checksums.siret),
-    Detector("SIREN", SIREN, validate=checksums.siren),
-    Detector("PHONE", PHONE_PLUS),
-    Detector("PHONE", PHONE_LOCAL),
+    Detector("EMAIL", EMAIL, needs="@"),
+    Detector("IPV6", IPV6, needs="::|[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"),
+    Detector("IPV4", IPV4, needs=r"\d\.\d{1,3}\.\d"),
+    Detector("IBAN", IBAN, validate=checksums.iban, needs=r"[A-Z]{2}\d{2}"),
+    Detector("SIRET", SIRET, validate=checksums.siret, needs=r"\d{3}\p{Zs}?\d{3}\p{Zs}?\d{3}"),
+    Detector("SIREN", SIREN, validate=checksums.siren, needs=r"\d{9}"),
+    Detector("PHONE", PHONE_PLUS, needs=r"\+[1-9]"),
+    Detector("PHONE", PHONE_LOCAL, needs="0[1-9]"),
 ]
 SECRETS = [
-    Detector("JWT", JWT, 0.99),
-    Detector("API_KEY", KEY_SK, 0.99),
-    Detector("API_KEY", KEY_AKIA, 0.99),
-    Detector("API_KEY", KEY_GH, 0.99),
-    Detector("API_KEY", KEY_XOX, 0.99),
-    Detector("API_KEY", KEY_PAY, 0.99),
-    Detector("API_KEY", BEARER, 0.99, outside=True),
-    Detector("SECRET", SECRET_KV, 0.95, outside=True),
+    Detector("JWT", JWT, 0.99, needs="eyJ"),
+    Detector("API_KEY", KEY_SK, 0.99, needs="sk-"),
+    Detector("API_KEY", KEY_AKIA, 0.99, needs="AKIA"),
+    Detector("API_KEY", KEY_GH, 0.99, needs="ghp_|github_pat_"),
+    Detector("API_KEY", KEY_XOX, 0.99, needs="xox[baprs]-"),
+    Detector("API_KEY", KEY_PAY, 0.99, needs="[sr]k_(?:live|test)_"),
+    Detector("API_KEY", BEARER, 0.99, outside=True, needs="(?iu)bearer"),
+    Detector("SECRET", SECRET_KV, 0.95, outside=True, needs="(?iu)pass|cred|private|secret|token"),
 ]
 #: Opt-in: demands a word such as a register's name before the number.
 CONTEXTUAL_SIREN = Detector("SIREN", SIREN_IN_CONTEXT, validate=checksums.siren, outside=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ def safe_zones(output: Column) -> Column:
 def regex_hits(output: Column, detectors: list[Detector] = ALL, validated: bool = False) -> Column:
     """Matches of any pattern outside safe zones; checks of the patterns are not applied unless asked for."""
     zones = safe_zones(output)
-    hits = F.concat(*[(d if validated else Detector(d.type, d.pattern, d.confidence, None, d.outside)).matches(output) for d in detectors])
+    hits = F.concat(*[(d if validated else replace(d, validate=None)).matches(output) for d in detectors])
     out = F.filter(hits, lambda x: ~F.exists(zones, lambda z: spans.overlaps(z, x)))
     return F.transform(out, lambda x: _leak("regex-hit", x["type"], x["start"], x["end"]))
 

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from palimpsest.synth.template import Pad, Repeat, Section, Template, Text, Value
 
-#: Exponent that flattens the weights of lists; chances of sections and of noise.
-FLATTEN, SECTION_CHANCE, NOISE_CHANCE = 0.6, 0.7, 0.3
+#: Exponent that flattens the weights of lists; chances of sections, of noise, and of a title other than the usual.
+FLATTEN, SECTION_CHANCE, NOISE_CHANCE, RANK_CHANCE = 0.6, 0.7, 0.3, 0.1
 Lists = dict[str, list[tuple[str, float]]]
 
 # Small lists for a first corpus; larger ones are given as data.
@@ -33,6 +33,13 @@ DEFAULT_LISTS: Lists = {
 }
 
 
+# Written forms of persons with their weights.
+PERSON_FORMS = {
+    "civ_prenom_nom": 18, "civ_nom_prenom": 14, "prenom_nom": 16, "prenom_nom_caps": 12, "nom_prenom_caps": 14, "nom_seul": 6, "titre_nom": 6,
+    "titre_nom_caps": 5, "nom_naissance": 4, "nom_prenom_etiquette": 3, "couple": 2,
+}
+
+
 def document_seed(seed: int, kind: str, lang: str, index: int) -> int:
     """A seed that depends on the document alone."""
     return int.from_bytes(hashlib.sha256(f"{seed}|{kind}|{lang}|{index}".encode()).digest()[:8], "big", signed=True)
@@ -41,11 +48,11 @@ def document_seed(seed: int, kind: str, lang: str, index: int) -> int:
 class Picker:
     """Weighted choice with flattened weights, by binary search in their sums."""
 
-    def __init__(self, rows: list[tuple[str, float]]):
+    def __init__(self, rows: list[tuple[str, float]], flatten: float = FLATTEN):
         self.values = [v for v, _ in rows]
         self.sums, total = [], 0.0
         for _, w in rows:
-            total += max(w, 0.0) ** FLATTEN
+            total += max(w, 0.0) ** flatten
             self.sums.append(total)
 
     def pick(self, rng: random.Random) -> str:
@@ -67,6 +74,7 @@ class Writer:
     def __init__(self, lists: Lists, rng: random.Random):
         self.pick = {k: Picker(v) for k, v in lists.items() if v}
         self.rng = rng
+        self.form = Picker(list(PERSON_FORMS.items()), 1.0)
         self.slots: dict[tuple[str, str], dict[str, str]] = {}
 
     def _of(self, name: str) -> str:
@@ -77,7 +85,7 @@ class Writer:
         if key not in self.slots:
             r = self.rng
             if kind == "PER":
-                v = {"first": self._of("first"), "last": self._of("last"), "birth": self._of("last"), "title": r.choice(["M.", "Mme"])}
+                v = {"first": self._of("first"), "last": self._of("last"), "birth": self._of("last"), "title": r.choice(["M.", "Mme"]), "rank": r.choice(["Dr", "Pr", "Me"]) if r.random() < RANK_CHANCE else "Dr"}
             elif kind == "ORG":
                 how = r.random()
                 base = f"{self._of('trade')} {self._of('first')} {self._of('last')}" if how < 0.5 else f"{self._of('trade')} de {self._of('city')}" if how < 0.92 else self._of("trade")
@@ -88,17 +96,29 @@ class Writer:
         return self.slots[key]
 
     def person(self, v: Value) -> list[tuple[str, bool]]:
+        """Pieces of a person's written form, each with whether it is a name: titles and labels stay outside the spans, a birth
+        name and a labelled first name are spans of their own."""
         p = self._slot("PER", v.slot)
-        first, last = p["first"], p["last"]
-        forms = {
-            "civ_prenom_nom": f"{p['title']} {first} {last.upper()}", "civ_nom_prenom": f"{p['title']} {last} {first}", "prenom_nom": f"{first} {last}",
-            "prenom_nom_caps": f"{first} {last}".upper(), "nom_prenom_caps": f"{last} {first}".upper(), "nom_seul": last.upper(), "titre_nom": f"Dr {last.upper()} {first}",
-            "titre_nom_caps": f"Dr {last} {first}".upper().replace("DR", "Dr", 1), "nom_naissance": f"{p['title']} {last.upper()} {first} (Née {p['birth'].upper()})", "nom_prenom_etiquette": f"{last.upper()} Prénom : {first}",
-        }
-        if v.arg("form") == "couple":
+        first, last, caps, title = p["first"], p["last"], p["last"].upper(), p["title"] + " "
+        doctor = p["rank"] + " "
+        form = v.arg("form")
+        if form not in PERSON_FORMS:
+            form = self.form.pick(self.rng)
+        if form == "couple":
             other = self._slot("PER", v.slot + "\0partner")
-            return [(f"{last} {first}".upper() + " ", True), (f"{other['last']} {other['first']}", True)]
-        return [(forms.get(v.arg("form")) or self.rng.choice(list(forms.values())), True)]
+            return [(f"{last} {first}".upper(), True), (" ", False), (f"{other['last']} {other['first']}", True)]
+        return {
+            "civ_prenom_nom": [(title, False), (f"{first} {caps}", True)],
+            "civ_nom_prenom": [(title, False), (f"{last} {first}", True)],
+            "prenom_nom": [(f"{first} {last}", True)],
+            "prenom_nom_caps": [(f"{first} {last}".upper(), True)],
+            "nom_prenom_caps": [(f"{last} {first}".upper(), True)],
+            "nom_seul": [(caps, True)],
+            "titre_nom": [(doctor, False), (f"{caps} {first}", True)],
+            "titre_nom_caps": [(doctor, False), (f"{last} {first}".upper(), True)],
+            "nom_naissance": [(title, False), (f"{caps} {first}", True), (" (Née ", False), (p["birth"].upper(), True), (")", False)],
+            "nom_prenom_etiquette": [(caps, True), (" Prénom : ", False), (first, True)],
+        }[form]
 
     def organisation(self, v: Value) -> str:
         o = self._slot("ORG", v.slot)
