@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.functions import checksums, crypto
 from palimpsest.functions import text as tx
-from palimpsest.functions.regexlib import count_all, find_all, translate
+from palimpsest.functions.regexlib import find_all, translate
 from palimpsest.operators import anonymize as an
 from palimpsest.operators import detectors as dt
 from palimpsest.operators import evaluate as ev
@@ -20,6 +20,7 @@ from palimpsest.operators import tags as tg
 from palimpsest.operators import tokens as tk
 from palimpsest.operators import verify as vf
 from palimpsest.session import spread, table
+from palimpsest.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,10 +205,10 @@ def entity_filters(spark: SparkSession, d: str) -> DataFrame:
     """Entities of responses that the request's confidence and a limit of two words would keep."""
     limits = table(spark, d, "requests").groupBy("request_id").agg(F.min(F.coalesce("min_confidence", F.lit(0.0))).alias("mc"))
     rows = table(spark, d, "responses").select("response_id", "request_id", "entities").distinct().join(limits, "request_id")
-    each = rows.select("response_id", "mc", F.explode(F.array_distinct("entities")).alias("e"))
-    return each.groupBy(F.col("e.type").alias("type")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("e.confidence") >= F.col("mc"), 1).otherwise(0)).cast("long").alias("confident"), F.sum(F.when(fl.words_in(F.col("e.text")) <= 2, 1).otherwise(0)).cast("long").alias("short")
-    )
+    kept = rows.select(F.array_distinct("entities").alias("e"), "mc")
+    by_type = lambda e, name: kept.select(F.explode(e).alias("x")).groupBy(F.col("x.type").alias("type")).agg(F.count(F.lit(1)).alias(name))
+    counts = by_type(F.col("e"), "n").join(by_type(fl.min_confidence(F.col("e"), F.col("mc")), "confident"), "type", "left").join(by_type(fl.max_tokens(F.col("e"), 2), "short"), "type", "left")
+    return counts.select("type", "n", F.coalesce("confident", F.lit(0)).cast("long").alias("confident"), F.coalesce("short", F.lit(0)).cast("long").alias("short"))
 
 
 @query("skip_types_complement", "with a as (select unnest(['PER','LOC','ORG','MISC','EMAIL','IPV4','IPV6','IBAN','SIRET','SIREN','PHONE','API_KEY','JWT','SECRET']) as t), r as (select request_id, any_value(skip_types) as s from requests group by request_id) select t as type, cast(sum(case when r.s is not null and list_contains(r.s, t) then 0 else 1 end) as bigint) as kept_by from a, r group by t")
@@ -274,7 +275,7 @@ _TOK = r"[\p{L}\p{Nd}][\p{L}\p{Nd}\-‐‑]*['’]?"
 
 @query("words_per_doc", f"select doc_id, cast(len(regexp_extract_all(text, {_lit(_TOK)})) as int) as words from documents where text is not null")
 def words_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", count_all(F.col("text"), _TOK).alias("words"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(tk.tokenize(F.col("text"), "fr"), lambda t: t["is_word"])).alias("words"))
 
 
 _WORDS = f"w as (select doc_id, unnest(regexp_extract_all(text, {_lit(_TOK)})) as w, generate_subscripts(regexp_extract_all(text, {_lit(_TOK)}), 1) as pos from documents)"
@@ -309,7 +310,7 @@ def word_flags(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("text", tx.is_title(w).alias("title"), tx.is_digits(w).alias("digits"), tx.has_hyphen(w).alias("hyphen"), tx.has_digit(w).alias("has_digit"), tx.suffix(w, 3).alias("suf3"), tx.prefix(w, 3).alias("pre3"), tx.length_bucket(w).alias("bucket"), "n")
 
 
-@query("tokens_match_source", "with t as (select distinct request_id, tok_no, text, start_off, end_off from tokens) select count(*) as n, cast(0 as bigint) as wrong from t join (select request_id, min(text) as src from requests group by request_id) using (request_id)")
+@query("tokens_match_source", "with t as (select distinct request_id, tok_no, text, start_off, end_off from tokens) select count(*) as n, cast(sum(case when substr(src, start_off + 1, end_off - start_off) = t.text then 0 else 1 end) as bigint) as wrong from t join (select request_id, min(text) as src from requests group by request_id) using (request_id)")
 def tokens_match_source(spark: SparkSession, d: str) -> DataFrame:
     """Every token is the stretch of its source that its positions name."""
     t = table(spark, d, "tokens").select("request_id", "tok_no", "text", "start_off", "end_off").distinct()
@@ -387,8 +388,7 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- gazetteers ----------------------------------------------------------------------------------------------------------
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     """(name, term, n): terms in lower case, cut at the first separator, comments left out, repeated ones counted."""
-    g = table(spark, d, "gazetteer").where("line is not null and not startswith(ltrim(line), '#')")
-    return g.select("name", F.lower(F.trim(F.regexp_extract("line", r"^([^,;\t]*)", 1))).alias("term")).where("term <> ''").groupBy("name", "term").agg(F.count(F.lit(1)).alias("n"))
+    return corpora.word_lists(table(spark, d, "gazetteer").where("line is not null"))
 
 
 _GAZ = r"gaz as (select name, lower(trim(regexp_extract(line, '^([^,;\t]*)', 1))) as term, count(*) as n from gazetteer where line is not null and not starts_with(ltrim(line), '#') group by all having term <> '')"
@@ -433,10 +433,10 @@ def span_entropy(spark: SparkSession, d: str) -> DataFrame:
     return ev.entropy(s, "label", "text").select("label", "n", "distinct_values", (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
-@query("span_violations", "with d as (select doc_index, entities from (select doc_index, entities, row_number() over (partition by doc_index order by num_tokens) as r from synth_docs) where r = 1) select doc_index, 'degenerate' as kind, cast(len(list_filter(entities, lambda x: x.end_off <= x.start_off)) as int) as n from d where len(list_filter(entities, lambda x: x.end_off <= x.start_off)) > 0 union all select doc_index, 'unlabelled', cast(len(list_filter(entities, lambda x: x.label is null or x.label = '')) as int) from d where len(list_filter(entities, lambda x: x.label is null or x.label = '')) > 0 union all select doc_index, 'blank-edge', cast(len(list_filter(entities, lambda x: coalesce(regexp_matches(x.text, '^[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]$'), false))) as int) from d where len(list_filter(entities, lambda x: coalesce(regexp_matches(x.text, '^[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]$'), false))) > 0")
+@query("span_violations", "with d as (select doc_index, entities from (select doc_index, entities, row_number() over (partition by doc_index order by num_tokens) as r from synth_docs) where r = 1) select doc_index, 'degenerate' as kind, cast(len(list_filter(entities, lambda x: x.end_off <= x.start_off)) as int) as n from d where len(list_filter(entities, lambda x: x.end_off <= x.start_off)) > 0 union all select doc_index, 'unlabelled', cast(len(list_filter(entities, lambda x: x.label is null or x.label = '')) as int) from d where len(list_filter(entities, lambda x: x.label is null or x.label = '')) > 0 union all select doc_index, 'blank-edge', cast(len(list_filter(entities, lambda x: coalesce(regexp_matches(x.text, '^[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]$'), false))) as int) from d where len(list_filter(entities, lambda x: coalesce(regexp_matches(x.text, '^[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]$'), false))) > 0 union all select doc_index, 'overlap', cast(count(*) as int) from (select doc_index, s.a as a, max(s.b) over (partition by doc_index order by s.a, s.b rows between unbounded preceding and 1 preceding) as before from (select doc_index, unnest(list_transform(entities, lambda x: struct_pack(a := x.start_off, b := x.end_off))) as s from d)) where before > a group by doc_index")
 def span_violations(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "synth_docs").withColumn("r", F.row_number().over(Window.partitionBy("doc_index").orderBy("num_tokens"))).where("r = 1")
-    return ev.span_violations(docs).where("kind <> 'overlap'")
+    return ev.span_violations(docs)
 
 
 @query("duplicate_rate", "with c as (select text, count(*) as n from documents group by text) select cast(sum(n) as bigint) as rows, count(*) as distinct_rows, round(sum(n - 1) / sum(n), 9) as rate from c")
@@ -463,13 +463,13 @@ def latest_manifests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from palimpsest import catalog_more  # noqa: F401  registers further queries
+    from palimpsest import catalog_more, catalog_ops  # noqa: F401  register further queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from palimpsest import catalog_more  # noqa: F401
+    from palimpsest import catalog_more, catalog_ops  # noqa: F401
 
     return dict(SQL)
 

@@ -33,6 +33,21 @@ def pair_views(segments: DataFrame, doc: str, number: str, text: str = "text") -
     return rows.select(doc, number, "next_number", joined_pair(F.col(text), F.col("next_text")).alias("view"), cut.alias("cut"), F.length(text).alias("first_length"))
 
 
+def whole_views(segments: DataFrame, doc: str, number: str, text: str = "text") -> DataFrame:
+    """(doc, view, bounds): all segments of a document joined by blanks, with the number, start and end of each.
+
+    A document is bounded by its own size; a null segment counts as empty.
+    """
+    joined = segments.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(number).cast("bigint").alias("no"), F.coalesce(text, F.lit("")).alias("t")))).alias("s"))
+    first = F.expr("named_struct('at', 0, 'b', cast(array() as array<struct<no:bigint,start:int,end:int>>))")
+
+    def bound(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["t"])
+        return F.struct((end + 1).alias("at"), F.concat(acc["b"], F.array(F.struct(x["no"].alias("no"), acc["at"].alias("start"), end.alias("end")))).alias("b"))
+
+    return joined.select(doc, F.array_join(F.transform("s", lambda x: x["t"]), " ").alias("view"), F.aggregate("s", first, bound, lambda a: a["b"]).alias("bounds"))
+
+
 def detect_in_views(segments: DataFrame, doc: str, number: str, text: str = "text", detectors: list[dt.Detector] = dt.ALL) -> DataFrame:
     """`segments` with entities found in the segment or in a view of it with a neighbour, reconciled: recall can only grow.
 

@@ -14,6 +14,7 @@ from palimpsest.functions.regexlib import find_all, translate
 from palimpsest.operators import spans
 from palimpsest.operators.anonymize import PLACEHOLDER
 from palimpsest.operators.detectors import ALL, Detector
+from palimpsest.operators.documents import whole_views
 from palimpsest.types import LEAKS
 
 KINDS = ("known-entity", "regex-hit", "invalid-utf8", "residual-placeholder-source", "document-entity", "unwritable-region")
@@ -98,16 +99,8 @@ def document_leaks(segments: DataFrame, document: str = "doc_id", number: str =
     Segments of one document are joined in one row; a document is bounded by its own size. `segments` lists the segment
     numbers that a hit touches.
     """
-    joined = segments.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("no"), F.col(output).alias("t")))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.coalesce(x["t"], F.lit(""))), " ")
-    first = F.expr("named_struct('at', 0, 'b', cast(array() as array<struct<no:bigint,start:int,end:int>>))")
-
-    def bound(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(F.coalesce(x["t"], F.lit("")))
-        return F.struct((end + 1).alias("at"), F.concat(acc["b"], F.array(F.struct(x["no"].cast("bigint").alias("no"), acc["at"].alias("start"), end.alias("end")))).alias("b"))
-
-    found = joined.select(document, text.alias("t"), F.aggregate("s", first, bound, lambda a: a["b"]).alias("bounds"))
-    hits = found.select(document, "bounds", F.explode(regex_hits(F.col("t"))).alias("l"))
+    found = whole_views(segments, document, number, output)
+    hits = found.select(document, "bounds", F.explode(regex_hits(F.col("view"))).alias("l"))
     touched = F.transform(F.filter("bounds", lambda b: spans.overlaps(b, F.col("l"))), lambda b: b["no"])
     return hits.select(document, F.lit("document-entity").alias("kind"), "l.type", "l.start", "l.end", touched.alias("segments")).where(F.size("segments") > 1)
 

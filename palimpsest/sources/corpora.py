@@ -42,10 +42,37 @@ def wikiner(lines: DataFrame, word_col: int = 0, tag_col: int = -1) -> DataFrame
     return iob1_to_iob2(out, ["path", "sent_id"], "pos")
 
 
-def word_list(lines: DataFrame, name: str) -> DataFrame:
-    """(name, term, n): terms up to the first comma, semicolon or tab, in lower case, repeated ones counted."""
-    rows = lines.where("not startswith(ltrim(line), '#')").select(F.lower(F.trim(F.regexp_extract("line", r"^([^,;\t]*)", 1))).alias("term")).where("term <> ''")
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "term", "n")
+def word_lists(lines: DataFrame) -> DataFrame:
+    """(name, term, n) of lines (name, line) of several lists: terms up to the first comma, semicolon or tab, in lower case,
+    repeated ones counted."""
+    rows = lines.where("not startswith(ltrim(line), '#')").select("name", F.lower(F.trim(F.regexp_extract("line", r"^([^,;\t]*)", 1))).alias("term")).where("term <> ''")
+    return rows.groupBy("name", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_list(lines: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """(name, term, n) of one list, of terms that stand there at least so often."""
+    return word_lists(lines.withColumn("name", F.lit(name))).where(F.col("n") >= least)
+
+
+def to_conll(tokens: DataFrame, sentence: str, order: str, separator: str = "\t") -> DataFrame:
+    """(path, line_no, line): tokens (word, tag) as lines of a column file, a blank line behind each sentence.
+
+    Lines are numbered within their sentence's own stretch, so no order of the whole is made; a sentence has less than two to
+    the twentieth lines.
+    """
+    sents = tokens.groupBy(sentence).agg(F.array_sort(F.collect_list(F.struct(order, "word", "tag"))).alias("t"))
+    rows = sents.select(sentence, F.posexplode(F.concat(F.transform("t", lambda x: F.concat_ws(separator, x["word"], x["tag"])), F.array(F.lit("")))).alias("k", "line"))
+    return rows.select(F.lit("").alias("path"), (F.col(sentence) * (1 << 20) + F.col("k")).alias("line_no"), "line")
+
+
+def to_jsonl(docs: DataFrame, *columns: str) -> DataFrame:
+    """(line): documents as JSON objects, one a line."""
+    return docs.select(F.to_json(F.struct(*columns)).alias("line"))
+
+
+def to_clusters(paths: DataFrame) -> DataFrame:
+    """(line): words (word, path, n) as lines of a cluster file."""
+    return paths.select(F.concat_ws("\t", "path", "word", F.col("n").cast("string")).alias("line"))
 
 
 def clusters(lines: DataFrame) -> DataFrame:
