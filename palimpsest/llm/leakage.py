@@ -1,17 +1,24 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Prefix-filtered set join. Every passage is cut into windows of 20 successive words. A document that holds a window with at
-most two words changed holds at least one of the window's three rarest words, so only these prefix words are indexed; rarity
-is the document frequency over the whole corpus. Documents probe with their words, a candidate must hold enough of the
-passage's distinct words in a stretch of bounded length, and the survivors are verified by aligning every window exactly.
+Prefix-filtered set join. Every passage is cut into windows of 20 successive words; a document leaks a passage if it holds
+a window with at most two words replaced, dropped or added. Shingles of five words of all passages are ordered by rarity,
+which is their document frequency over the whole corpus. The prefix of a window is the rarest set of three shingles that
+share no word: two changes break two of them at most, so a document with the window holds the third. A document's shingle
+that stands in a prefix makes a candidate at one offset between document and passage. Bounds on position (only windows over
+that shingle, at that offset give or take the changes) and on length (as many of the window's words must stand there at
+all) leave few stretches, which are verified exactly by edit distance.
+
+Each document is cut into words once. The passages are a stated query set: they are held in blocks of bounded size, which
+every task reads, so that documents are never moved.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +26,14 @@ from pyspark.sql import types as T
 
 from palimpsest.llm import layout
 from palimpsest.llm.canon import plain
-from palimpsest.session import spread, table
-
-#: Successive words of a passage that make a leak, and how many of them may be changed.
-WINDOW, CHANGED = 20, 2
+from palimpsest.llm.overlap import disjoint
+from palimpsest.session import checkpoint, spread, table
+
+#: Successive words of a passage that make a leak, how many of them may be changed, and the words of a shingle.
+WINDOW, CHANGED, SHINGLE = 20, 2, 5
+#: Words of passages that are held against the corpus at a time; more items are taken in further passes over it.
+BLOCK_WORDS = 1_000_000
+_QUOTE = re.compile(r"^(?:[ \t]*>)+[ \t]?", re.M)
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
@@ -31,13 +42,7 @@ def text_words(text: str | None) -> list[str]:
     """Comparable words of a whole text: without markup, quote prefixes, case, accents, punctuation and look-alikes."""
     if not text:
         return []
-    lines = [line for block in layout.blocks(text) for line in block]
-    return _WORD.findall(plain(layout.flow(text, lines).text))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _words(texts: pd.Series) -> pd.Series:
-    return texts.map(text_words)
+    return _WORD.findall(plain(layout.unmarked(_QUOTE.sub("", text) if ">" in text else text)))
 
 
 def passages(items: list[tuple[int, str]]) -> list[tuple[list[int], list[str]]]:
@@ -64,106 +69,160 @@ def passages(items: list[tuple[int, str]]) -> list[tuple[list[int], list[str]]]:
     return [(ids, list(w)) for w, ids in by.items() if w]
 
 
-_PASSAGE = T.StructType([T.StructField("passage_id", T.IntegerType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("passage", T.ArrayType(T.StringType())), T.StructField("least", T.IntegerType())])
 
+class Passages:
+    """One block of passages as numbers of words, with the shingles by which documents meet them."""
+
+    def __init__(self, rows: list[tuple[list[int], list[str]]]):
+        self.number: dict[str, int] = {}  # words from 1; 0 is any word outside the passages
+        self.items = [ids for ids, _ in rows]
+        self.words = [[self.number.setdefault(w, len(self.number) + 1) for w in ws] for _, ws in rows]
+        self.shingles: dict[tuple[int, ...], int] = {}
+        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each shingle: passage, position
+        for k, ws in enumerate(self.words):
+            size = min(SHINGLE, len(ws))
+            for p in range(len(ws) - size + 1):
+                self.places[self.shingles.setdefault(tuple(ws[p : p + size]), len(self.shingles))].append((k, p))
+        self.sizes = sorted({len(x) for x in self.shingles})
+
+    def hits(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """(numbers of a document's words, shingles of passages that it holds, where)."""
+        get = self.number.get
+        ids = [get(w, 0) for w in words]
+        found, at = [], []
+        for size in self.sizes:
+            if len(ids) < size:
+                continue
+            # stretches of words that all stand in some passage
+            known = np.concatenate(([0], np.cumsum(np.array(ids) > 0)))
+            for p in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
+                x = self.shingles.get(tuple(ids[p : p + size]))
+                if x is not None:
+                    found.append(x)
+                    at.append(p)
+        return ids, found, at
+
+    def prefixes(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+        """(passage, position) by shingle, of the shingles that stand in the prefix of some window."""
+        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        for k, ws in enumerate(self.words):
+            size, need = min(SHINGLE, len(ws)), allowed(len(ws)) + 1
+            window = min(WINDOW, len(ws))
+            own = [self.shingles[tuple(ws[p : p + size])] for p in range(len(ws) - size + 1)]
+            for s in range(len(ws) - window + 1):
+                ranges = [(frequency.get(own[p], 0), p - s, p - s + size - 1, own[p], p) for p in range(s, s + window - size + 1)]
+                for g, p in disjoint(ranges, window, need):
+                    out[g].add((k, p))
+        return {g: sorted(v) for g, v in out.items()}
+
+
+def allowed(n: int) -> int:
+    """Changes allowed in a window of a passage of `n` words; a passage shorter than a window must stand as a whole."""
+    return CHANGED if n >= WINDOW else n // 10
+
+
+def holds(doc: list[int], passage: list[int], offsets: list[tuple[int, int]]) -> bool:
+    """True if the document holds a window of the passage, lightly changed, over one of the shingles at (position in the
+    document, position in the passage)."""
+    n = len(passage)
+    window, most = min(WINDOW, n), allowed(n)
+    done = set()
+    for pos, p in offsets:
+        for s in range(max(0, p + min(SHINGLE, n) - window), min(p, n - window) + 1):
+            start = pos - (p - s)
+            if (s, start) in done:
+                continue
+            done.add((s, start))
+            win = passage[s : s + window]
+            stretch = doc[max(0, start - most) : start + window + most]
+            if sum((Counter(win) & Counter(stretch)).values()) >= window - most and within(win, stretch, most):
+                return True
+    return False
 
-def passage_table(items: DataFrame) -> DataFrame:
-    """(passage_id, item_ids, passage, least) of the evaluation set, which is a stated query set of fixed size.
 
-    `least` is the fewest distinct words that a document holding one of the passage's windows shares with the passage.
-    """
-    spark = items.sparkSession
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").distinct().where("item_id is not null and text is not null").orderBy("item_id", "text").collect()]
-    return spark.createDataFrame([(k, ids, w, least_shared(w)) for k, (ids, w) in enumerate(passages(rows))], _PASSAGE)
+def within(win: list[int], stretch: list[int], most: int) -> bool:
+    """True if some part of the stretch is `win` with at most `most` words replaced, dropped or added."""
+    row = [0] * (len(stretch) + 1)
+    for i, w in enumerate(win, 1):
+        diag, row[0] = row[0], i
+        for j, x in enumerate(stretch, 1):
+            up = row[j]
+            row[j] = min(diag + (w != x), up + 1, row[j - 1] + 1)
+            diag = up
+        if min(row) > most:
+            return False
+    return min(row) <= most
 
 
-def least_shared(words: list[str]) -> int:
-    size = min(WINDOW, len(words))
-    return max(1, min(len(set(words[i : i + size])) for i in range(len(words) - size + 1)) - CHANGED)
+def item_rows(items: DataFrame) -> list[tuple[int, str]]:
+    """The evaluation set, which is a stated query set."""
+    return [(r.item_id, r.text) for r in items.select("item_id", "text").distinct().where("item_id is not null and text is not null").orderBy("item_id", "text").collect()]
 
 
-def prefix_words(passages_: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(word, passage_id): for each window of each passage, its CHANGED + 1 rarest words by (frequency, word)."""
-    words = passages_.select("passage_id", F.posexplode("passage").alias("pos", "word"))
-    ranked = words.join(frequency, "word", "left").select("passage_id", "pos", "word", F.coalesce("df", F.lit(0)).alias("df"))
-    ordered = ranked.groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df", "word"))), lambda x: F.struct(x["df"].alias("df"), x["word"].alias("word"))).alias("w"))
-    starts = ordered.select("passage_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - WINDOW + 1))).alias("i"))
-    window = F.array_distinct(F.array_sort(F.slice("w", F.col("i"), WINDOW)))
-    # a word that stands twice in a window could be changed at once only by two changes, so distinct words are enough
-    return starts.select("passage_id", F.explode(F.slice(window, 1, CHANGED + 1)).alias("x")).select("passage_id", "x.word").distinct()
+def passage_blocks(rows: list[tuple[int, str]]) -> Iterator[Passages]:
+    block, size = [], 0
+    for ids, words in passages(rows):
+        block.append((ids, words))
+        size += len(words)
+        if size >= BLOCK_WORDS:
+            yield Passages(block)
+            block, size = [], 0
+    if block:
+        yield Passages(block)
 
 
-def holds(doc: list[str], passage: list[str], window: int = WINDOW, changed: int = CHANGED) -> bool:
-    """True if the document holds `window` successive words of the passage with at most `changed` of them changed.
+def _leaks_of(documents: DataFrame, block: Passages) -> DataFrame:
+    sc = documents.sparkSession.sparkContext
+    shared = sc.broadcast(block)  # at most BLOCK_WORDS words
 
-    A shorter passage must stand there as a whole, with a proportional number of changes.
-    """
-    n = len(passage)
-    size = min(window, n)
-    need = size - (changed if n >= window else n // 10)
-    at: dict[str, list[int]] = {}
-    wanted = set(passage)
-    for i, w in enumerate(doc):
-        if w in wanted:
-            at.setdefault(w, []).append(i)
-    hits = sorted(i for v in at.values() for i in v)
-    if len(hits) < need:
-        return False
-    for s in range(n - size + 1):
-        win = passage[s : s + size]
-        have = sum(w in at for w in win)
-        if have < need:
-            continue
-        # anchor at the document positions of the window's rarest word present, then align the stretch around it
-        tried = set()
-        for off in sorted(range(size), key=lambda k: len(at.get(win[k], ())) or 1 << 30)[: changed + 1]:
-            for p in at.get(win[off], ()):
-                lo = p - off - changed
-                if lo in tried:
-                    continue
-                tried.add(lo)
-                a, b = max(0, lo), min(len(doc), lo + size + 2 * changed)
-                if bisect_left(hits, b) - bisect_left(hits, a) >= need and _common(doc[a:b], win) >= need:
-                    return True
-    return False
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for rows in batches:
+            out = []
+            for doc_id, text in zip(rows["doc_id"], rows["text"]):
+                ids, found, at = known.hits(text_words(text))
+                if found:
+                    out.append((doc_id, ids, found, at))
+            yield pd.DataFrame(out, columns=["doc_id", "ids", "found", "at"])
 
+    kind = dict(documents.dtypes)["doc_id"]
+    # documents that hold any shingle of a passage: few, and written once, as they are read twice
+    found = checkpoint(spread(documents.where("text <> ''")).mapInPandas(read, f"doc_id {kind}, ids array<int>, found array<int>, at array<int>"))
+    counts = found.select(F.explode(F.array_distinct("found")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = sc.broadcast(block.prefixes({r.g: r.n for r in counts.collect()}))  # a row a shingle of the block at most
 
-def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    if sum((Counter(a) & Counter(b)).values()) == 0:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = diag + 1 if x == y else max(up, row[j - 1])
-            diag = up
-    return row[-1]
+    def verify(ids: pd.Series, found: pd.Series, at: pd.Series) -> pd.Series:
+        places, known = prefixes.value, shared.value
+
+        def one(doc, gs, ps):
+            near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for g, pos in zip(gs.tolist(), ps.tolist()):
+                for k, p in places.get(g, ()):
+                    near[k].append((pos, p))
+            doc = doc.tolist()
+            return [i for k, offsets in near.items() if holds(doc, known.words[k], offsets) for i in known.items[k]]
 
+        return pd.Series([one(*x) for x in zip(ids, found, at)])
 
-@F.pandas_udf(T.BooleanType())
-def _holds(doc: pd.Series, passage: pd.Series) -> pd.Series:
-    return pd.Series([holds(list(d), list(p)) for d, p in zip(doc, passage)])
+    items = F.pandas_udf(verify, T.ArrayType(T.LongType())).asNondeterministic()("ids", "found", "at")
+    return found.select("doc_id", F.explode(items).alias("item_id"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold at least 20 successive words of an item's passage, lightly changed.
 
-    Null and empty texts leak nothing; items without text have no passage; items that share a passage are all listed.
-    Documents of any length are searched as a whole. Repeated rows come out once.
+    A passage shorter than that must stand as a whole, with one word in ten changed. Null and empty texts leak nothing; items
+    without text have no passage; items that share a passage are all listed. Documents of any length are searched as a
+    whole. Repeated rows come out once; columns beside doc_id and text play no part.
     """
-    docs = spread(documents.select("doc_id", "text").where("text <> ''")).select("doc_id", _words("text").alias("words")).where(f"size(words) >= {WINDOW // 2}")
-    pas = passage_table(items)
-    vocabulary = pas.select(F.explode("passage").alias("word")).distinct()
-    # each document's distinct words that stand in any passage; the passages' words are few and bound this table
-    found = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(vocabulary, "word", "left_semi")
-    frequency = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    prefixes = prefix_words(pas, frequency)
-    candidates = found.join(prefixes, "word").select("doc_id", "passage_id").distinct()
-    # length filter: enough distinct words of the passage at all
-    tested = candidates.join(docs, "doc_id").join(pas, "passage_id").where(F.size(F.array_intersect("words", "passage")) >= F.col("least"))
-    return tested.where(_holds("words", "passage")).select("doc_id", F.explode("item_ids").alias("item_id")).distinct()
+    docs = documents.select("doc_id", "text")
+    out = None
+    for block in passage_blocks(item_rows(items)):
+        part = _leaks_of(docs, block)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"))
+    return out.distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

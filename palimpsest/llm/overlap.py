@@ -179,7 +179,7 @@ def prefix(words: list[str], rank) -> list[tuple[int, int, int]]:
         for sizes in SIZE_SETS:
             if sizes not in ranges:
                 ranges[sizes] = _rarest_by_range(words, rank, sizes)
-            if found := _disjoint(ranges[sizes], n, k + 1):
+            if found := disjoint(ranges[sizes], n, k + 1):
                 break
         out += [(g, p, b) for g, p in found for b in partners]
     return out
@@ -201,7 +201,7 @@ def _rarest_by_range(words: list[str], rank, sizes: tuple[int, ...]) -> list[tup
     return list(zip(f[new].tolist(), first[new].tolist(), last[new].tolist(), h[new].tolist(), at[new].tolist()))
 
 
-def _disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int) -> list[tuple[int, int]]:
+def disjoint(ranges: list[tuple[float, int, int, int, int]], n: int, need: int) -> list[tuple[int, int]]:
     """`need` (shingle, position) of which no two touch one word, of least total frequency; none if there are not as many."""
     if n * need > EXACT_WORK:
         # the rarest within each of `need` equal parts
