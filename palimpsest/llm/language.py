@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm import layout
 from palimpsest.llm.canon import plain
+from palimpsest.llm.sampling import ample, below
 from palimpsest.session import spread, table
 
 #: Bounds of the labelled sample, by language: rows, and characters of training text.
@@ -66,6 +67,8 @@ SEED = {
 }
 _NAME = {n: code for code, row in NAMES.items() for n in row.split()}
 _NOISE = re.compile(r"\S*@\S*|\b(?:https?://|www\.)\S+|[\w.\-+]+\s?[(\[]at[)\]]\s?\S+|\d+")
+_AT = re.compile(r"@|[(\[]at[)\]]")
+_NOISE_WITHOUT_AT = re.compile(r"\b(?:https?://|www\.)\S+|\d+")
 _PIECE = re.compile(r"[.!?…]+\s+|[。！？।]|(?<=[฀-๿]) (?=[A-Z])")
 _ASCII = re.compile(r"[a-z]{3}")
 LATIN = ("en", "fr", "es", "de", "pt")
@@ -82,7 +85,8 @@ def code_of(label: str | None) -> str | None:
 
 def prepare(text: str) -> str:
     """Letters in comparable form with single blanks: what the automata are built from and parsed with."""
-    return _GAPS.sub(" ", plain(_NOISE.sub(" ", text))).strip()
+    noise = _NOISE if _AT.search(text) else _NOISE_WITHOUT_AT
+    return _GAPS.sub(" ", plain(noise.sub(" ", text))).strip()
 
 
 class Automaton:
@@ -119,17 +123,27 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
         self.last = last
+        self.known = dict.fromkeys(map(ord, nxt[0]))
         self.bits = math.log2(max(2, size[last]))
 
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse into longest factors; an unknown character is a phrase of its own."""
+    def phrases(self, text: str, most: float = math.inf) -> int:
+        """Phrases of the greedy parse into longest factors; an unknown character is a phrase of its own.
+
+        The parse is left as soon as it is sure to take more than `most` phrases; what comes out is then above `most`.
+        """
         nxt = self.next
         root = nxt[0]
+        if most < len(text):
+            strange = len(text.translate(self.known))  # each a phrase of its own, whatever stands beside it
+            if strange > most:
+                return strange
         n, here = 0, root
         for c in text:
             k = here.get(c)
             if k is None:
                 n += here is not root
+                if n > most:
+                    return n
                 k = root.get(c)
                 if k is None:
                     n += 1
@@ -144,17 +158,32 @@ class Identifier:
 
     def __init__(self, texts: dict[str, str]):
         self.automata = {code: Automaton(t) for code, t in sorted(texts.items()) if t}
+        self.order = list(self.automata)
         self.classify = lru_cache(20_000)(self._classify)
 
     def rates(self, text: str) -> dict[str, float]:
+        """Bits a letter that each language needs; a lower bound where it is neither among the two best nor near the best."""
         n = max(1, len(text))
-        return {code: a.phrases(text) * a.bits / n for code, a in self.automata.items()}
+        rates: dict[str, float] = {}
+        best = second = math.inf
+        for code in self.order:
+            a = self.automata[code]
+            limit = max(second, best / MARGIN)
+            rates[code] = rate = a.phrases(text, limit * n / a.bits) * a.bits / n
+            if rate < best:
+                best, second = rate, best
+            elif rate < second:
+                second = rate
+        return rates
 
     def _classify(self, text: str) -> tuple[str, float, dict[str, float]]:
         """(language, confidence, rates); confidence is the share of the second's phrases that the first saves."""
         rates = self.rates(text)
         order = sorted(rates.items(), key=lambda x: (x[1], x[0]))
         second = order[1][1] if len(order) > 1 else 1.0
+        # the next text is likely in the same language: parsing with it first only saves time
+        self.order.remove(order[0][0])
+        self.order.insert(0, order[0][0])
         return order[0][0], round(1 - order[0][1] / second, 6) if second else 0.0, rates
 
 
@@ -173,7 +202,7 @@ def block_texts(text: str) -> Iterator[tuple[int, str, int]]:
     for k, block in enumerate(layout.blocks(text)):
         lines = [x for x in block if x.kind == "text"]
         if lines:
-            body = prepare(layout.flow(text, lines).text)
+            body = prepare(layout.flow_text(text, lines))
             if len(body) >= 4:
                 yield k, body, sum(c.isalpha() for c in text[block[0].start : block[-1].end])
 
@@ -185,11 +214,17 @@ def _known(lang: pd.Series) -> pd.Series:
 
 def training_texts(recs: DataFrame) -> tuple[tuple[str, str], ...]:
     """(code, text) for each language: the short text, and blocks of a bounded sample whose label it confirms."""
-    labels = recs.select("lang").distinct()
-    coded = labels.withColumn("code", _known("lang"))
-    by = Window.partitionBy("code").orderBy(F.xxhash64("src", "rec_id"), "rec_id")
+    # how many rows each label has: a label that is no usual name of a language has no code
+    counts = recs.where("text <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("code", _known("lang")).where("code is not null").groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("lang").alias("langs")).collect()
+    if not counts:
+        return _agreeing([], seeded(), SAMPLE_CHARS)
+    order = F.xxhash64("src", "rec_id")
+    narrowed = F.lit(None).cast("string")
+    for r in counts:  # at most one for each language
+        narrowed = F.when(F.col("lang").isin(r.langs) & below(order, ample(SAMPLE_ROWS, r.n)), r.code).otherwise(narrowed)
+    by = Window.partitionBy("code").orderBy(order, "rec_id")
     rows = (
-        recs.where("text <> ''").join(coded.where("code is not null"), "lang")
+        recs.where("text <> ''").withColumn("code", narrowed).where("code is not null")
         .select("code", "src", "rec_id", F.substring("text", 1, ROW_CHARS).alias("text"))
         .withColumn("rn", F.row_number().over(by))
         .where(F.col("rn") <= SAMPLE_ROWS)
@@ -199,7 +234,7 @@ def training_texts(recs: DataFrame) -> tuple[tuple[str, str], ...]:
     blocks_ = []
     for r in rows:
         for block in layout.blocks(r.text):
-            whole = layout.flow(r.text, [x for x in block if x.kind == "text"]).text
+            whole = layout.flow_text(r.text, [x for x in block if x.kind == "text"])
             if len(prepare(whole)) >= MIN_LETTERS:
                 blocks_.append((r.code, tuple(x for x in map(prepare, _PIECE.split(whole)) if x)))
     first = _agreeing(blocks_, seeded(), FIRST_CHARS)
@@ -235,14 +270,13 @@ _SEGMENT = T.ArrayType(T.StructType([
 def segments(recs: DataFrame, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(src, rec_id, declared, segs): the language of every block of running text, with confidence.
 
-    `recs` has src, rec_id, text, lang. A null or empty text has no segments; repeated rows come out once; `declared` is
-    null where no language, or an unknown one, is declared. `differs` is set where a block of at least MIN_LETTERS letters
+    `recs` has src, rec_id, text, lang. A null or empty text has no segments; repeated rows come out as often as they are
+    given, so that texts need not be shuffled to find them (the queries take equal results together); `declared` is null where no language, or an unknown one, is declared. `differs` is set where a block of at least MIN_LETTERS letters
     is in another language than declared.
     """
     texts = texts or training_texts(recs)
     model = recs.sparkSession.sparkContext.broadcast(texts)  # bounded: languages x SAMPLE_CHARS
 
-    @F.pandas_udf(_SEGMENT)
     def find(text: pd.Series, lang: pd.Series) -> pd.Series:
         ident = _trained(model.value)
 
@@ -257,13 +291,14 @@ def segments(recs: DataFrame, texts: tuple[tuple[str, str], ...] | None = None)
 
         return pd.Series([one(t, x) for t, x in zip(text, lang)])
 
-    rows = spread(recs.select("src", "rec_id", "text", "lang").distinct())
-    return rows.select("src", "rec_id", _known("lang").alias("declared"), find("text", "lang").alias("segs"))
+    rows = spread(recs.select("src", "rec_id", "text", "lang"))
+    # marked as not deterministic so that the optimiser does not plan it again for a filter on its result
+    return rows.select("src", "rec_id", _known("lang").alias("declared"), F.pandas_udf(find, _SEGMENT).asNondeterministic()("text", "lang").alias("segs"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text", "lang")
-    reqs = table(spark, sf_dir, "requests").select(F.lit("requests").alias("src"), F.col("request_id").alias("rec_id"), "text", F.col("language").alias("lang"))
+    reqs = table(spark, sf_dir, "requests").select(F.lit("requests").alias("src"), F.col("request_id").alias("rec_id"), "text", F.col("language").alias("lang")).distinct()
     return docs.unionByName(reqs)
 
 
@@ -274,7 +309,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with the language of most of its letters, the confidence in it, and its number of languages."""
-    segs = segments(records(spark, sf_dir))
+    segs = segments(records(spark, sf_dir)).distinct()
     by_lang = segs.select("src", "rec_id", "declared", F.explode_outer("segs").alias("s")).groupBy("src", "rec_id", "declared", F.col("s.lang").alias("lang")).agg(F.sum("s.letters").alias("letters"), F.avg("s.confidence").alias("confidence"))
     return by_lang.groupBy("src", "rec_id", "declared").agg(
         F.max_by("lang", F.struct("letters", "lang")).alias("lang"), F.max_by("confidence", F.struct("letters", "lang")).alias("confidence"), F.count("lang").alias("languages")
