@@ -25,12 +25,15 @@ from pyspark.sql import types as T
 from palimpsest.llm import layout
 from palimpsest.llm.canon import plain
 from palimpsest.llm.normalize import gazetteer_terms
+from palimpsest.llm.sampling import ample, below, smallest
 from palimpsest.session import spread, table
 
 #: Bound of the training sample, in requests; passes over it; step size and L2 penalty.
 TRAIN_REQUESTS, PASSES, RATE, PENALTY = 4_000, 7, 0.25, 1e-4
 #: Candidates of the sample that a feature must stand in to get a weight.
 MIN_COUNT = 5
+#: Digits of the longest telephone number, and of the longest identity number (an IBAN's).
+MOST_DIGITS, MOST_ID_DIGITS = 15, 30
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "PER")
 #: Types the old engine's labels can stand for; the other labels stand for any type.
 LABEL_TYPES = {"EMAIL": ("EMAIL",), "PHONE": ("PHONE",), "IBAN": ("ID",), "SIREN": ("ID",), "SIRET": ("ID",), "NIR": ("ID",)}
@@ -119,6 +122,30 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _number_spans(s: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The stretches of a run of digit groups that can be one number.
+
+    A run of up to MOST_DIGITS digits is one number. In a longer one, several may stand beside each other: every run of whole
+    groups within that bound is a candidate as well, and the model chooses.
+    """
+    n = sum(c.isdigit() for c in s[a:b])
+    if n < 7:
+        return []
+    if n <= MOST_DIGITS:
+        return [(a, b)]
+    out = [(a, b)] if n <= MOST_ID_DIGITS else []
+    groups = [(m.start() + a, m.end() + a) for m in re.finditer(r"\+?\s?\(?\d+\)?", s[a:b])]
+    for i, (x, _) in enumerate(groups):
+        digits = 0
+        for g, y in groups[i:]:
+            digits += sum(c.isdigit() for c in s[g:y])
+            if digits > MOST_DIGITS:
+                break
+            if digits >= 7:
+                out.append((x + (s[x] == " "), y))
+    return out
+
+
 def _number_features(s: str) -> list[str]:
     digits = re.sub(r"\D", "", s)
     groups = re.findall(r"\d+", s)
@@ -187,18 +214,16 @@ class Finder:
         if any(c.isdigit() for c in s):
             for rx in (_NUMBER, _CODE):
                 for m in rx.finditer(s):
-                    a, b = m.span()
-                    text = m.group()
-                    if not 7 <= sum(c.isdigit() for c in text) <= 30:
-                        continue
-                    while text.count("(") != text.count(")") and text[0] == "(":
-                        a, text = a + 1, text[1:]
-                    if text.count(")") > text.count("("):
-                        text = text.rstrip(")")
-                        b = a + len(text)
-                    f = _number_features(text)
-                    for kind in ("PHONE", "ID"):
-                        add(a, b, kind, [*f, *(["iban"] if kind == "ID" and _iban(text) else [])])
+                    for a, b in _number_spans(s, *m.span()):
+                        text = s[a:b]
+                        while text.count("(") != text.count(")") and text[0] == "(":
+                            a, text = a + 1, text[1:]
+                        if text.count(")") > text.count("("):
+                            text = text.rstrip(")")
+                            b = a + len(text)
+                        f = _number_features(text)
+                        for kind in ("PHONE", "ID"):
+                            add(a, b, kind, [*f, *(["iban"] if kind == "ID" and _iban(text) else [])])
             if _HAS_STREET.search(s):
                 self._addresses(s, add)
         self._persons(s, spans, tokens, add)
@@ -481,12 +506,16 @@ def aligned(source: str, answer: str, entities: list[tuple[str, str]]) -> list[t
 
 def training_sample(requests: DataFrame, responses: DataFrame) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, labels) of a bounded sample of answered requests, by hash order."""
+    # narrowed by the hash before anything is shuffled
+    near = below(F.xxhash64("request_id"), ample(2 * TRAIN_REQUESTS, requests.count()))
+    requests, responses = requests.where(near), responses.where(near)
     asked = requests.where("text <> ''").groupBy("request_id").agg(F.min("text").alias("source"))
     rows = (
         responses.where("text is not null and entities is not null").groupBy("request_id").agg(F.min_by(F.struct("text", "entities"), "response_id").alias("r"))
-        .join(asked, "request_id").orderBy(F.xxhash64("request_id"), "request_id").limit(TRAIN_REQUESTS)
-        .select("source", F.col("r.text").alias("answer"), F.col("r.entities").alias("entities")).collect()
+        .join(asked, "request_id")
+        .select("request_id", "source", F.col("r.text").alias("answer"), F.col("r.entities").alias("entities"))
     )
+    rows = smallest(rows, TRAIN_REQUESTS, "request_id").collect()
     out = []
     for r in rows:
         spans = aligned(r.source, r.answer, [(e.type, e.text) for e in r.entities if e.text])
@@ -523,21 +552,22 @@ _ITEM = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.S
 def detect(recs: DataFrame, gazetteer: DataFrame, requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(src, rec_id, text, items): the items of every record, in order.
 
-    A null or empty text has no items; repeated rows come out once. Texts of any length are read as a whole. Without
+    A null or empty text has no items; repeated rows come out as often as they are given, so that texts need not be
+    shuffled to find them (`p4_found` takes equal results together). Texts of any length are read as a whole. Without
     training rows the seeds alone decide.
     """
     names = gazetteer_rows(gazetteer)
     model = fit(training_sample(requests, responses), Finder(Names(names)))
     shared = recs.sparkSession.sparkContext.broadcast((names, model.weights))  # bounded by the sample: about a megabyte
 
-    @F.pandas_udf(_ITEM)
     def items(texts: pd.Series) -> pd.Series:
         rows, weights = shared.value
         finder, crf = Finder(Names(rows)), SemiCRF(weights)
         return texts.map(lambda t: [{"pii_type": k, "start_pos": a, "end_pos": b} for k, a, b in find(t, finder, crf)] if t else [])
 
-    rows = spread(recs.select("src", "rec_id", "text").distinct())
-    return rows.select("src", "rec_id", "text", items("text").alias("items"))
+    rows = spread(recs.select("src", "rec_id", "text"))
+    # marked as not deterministic so that the optimiser does not plan it again for a filter on its result
+    return rows.select("src", "rec_id", "text", F.pandas_udf(items, _ITEM).asNondeterministic()("text").alias("items"))
 
 
 def mask(text: F.Column, items: F.Column) -> F.Column:
