@@ -56,10 +56,11 @@ def pieces(c: str) -> tuple[tuple[str, int], ...]:
     return tuple(out)
 
 
+@cache
 def mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
     """Every code point that does not simply stand for itself: the decomposition table, bounded by Unicode's size.
 
-    Precomposed Hangul is left out here and handled by arithmetic in `hangul_row`.
+    Precomposed Hangul stands for itself: recomposition would give it back.
     """
     rows = []
     for cp in range(1, sys.maxunicode + 1):

@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from palimpsest.llm import canon
-from palimpsest.session import table
+from palimpsest.session import checkpoint, table
 
+#: Matched texts up to which they are broadcast; beyond, Spark joins as it sees fit.
+BROADCAST_ROWS = 200_000
 MAPPING_SCHEMA = "cp string, parts array<struct<ch:string, ccc:int>>"
 
 
@@ -97,7 +99,9 @@ def lookalike_tokens(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
     term_forms = terms.join(forms(terms, "term"), "term").where("form <> ''")
     words = forms(tokens, "text")
     # distinct texts against terms first: the many occurrences of a text are met only once matched
-    hits = words.join(term_forms, "form").where("text <> term").select("text", "term_id").distinct()
+    hits = checkpoint(words.join(term_forms, "form").where("text <> term").select("text", "term_id").distinct())
+    if hits.count() <= BROADCAST_ROWS:  # then tokens, most of which match nothing, are not moved at all
+        hits = F.broadcast(hits)
     return tokens.select("request_id", "tok_no", "text").join(hits, "text").select("request_id", "tok_no", "term_id").distinct()
 
 
