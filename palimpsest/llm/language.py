@@ -160,6 +160,7 @@ class Identifier:
         self.automata = {code: Automaton(t) for code, t in sorted(texts.items()) if t}
         self.order = list(self.automata)
         self.classify = lru_cache(20_000)(self._classify)
+        self.language_of = lru_cache(20_000)(self._language_of)
 
     def rates(self, text: str) -> dict[str, float]:
         """Bits a letter that each language needs; a lower bound where it is neither among the two best nor near the best."""
@@ -176,6 +177,19 @@ class Identifier:
                 second = rate
         return rates
 
+    def _language_of(self, text: str) -> str:
+        """The language alone: every parse is left as soon as it is worse than the best one."""
+        n = max(1, len(text))
+        best, found = math.inf, ""
+        for code in self.order:
+            a = self.automata[code]
+            rate = a.phrases(text, best * n / a.bits) * a.bits / n
+            if rate < best or (rate == best and code < found):
+                best, found = rate, code
+        self.order.remove(found)
+        self.order.insert(0, found)
+        return found
+
     def _classify(self, text: str) -> tuple[str, float, dict[str, float]]:
         """(language, confidence, rates); confidence is the share of the second's phrases that the first saves."""
         rates = self.rates(text)
