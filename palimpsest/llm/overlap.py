@@ -37,6 +37,11 @@ SIZES = (10, 6, 4, 2)
 SIZE_SETS = (SIZES[:2], SIZES)
 #: Least and most binary digits of the number of buckets of the frequency sketch, and of bits of the bitmap of prefixes.
 SKETCH_BITS, BITMAP_BITS = (17, 22), (22, 26)
+#: Binary digits of the number of buckets, and of words of the bitmap, that come to the driver as one row of bytes.
+PART_BITS, PART_WORDS = 12, 15
+#: Steps of a doubling by which the sketch tells frequencies apart, in one byte a bucket, and the frequency of each byte.
+STEPS = 6
+FREQUENCIES = np.exp2(np.arange(256) / STEPS) - 1
 #: Work (words times changes) up to which the rarest set is found exactly; longer sentences take the rarest of equal parts.
 EXACT_WORK = 60_000
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -140,8 +145,18 @@ def bits_for(n: int, limits: tuple[int, int]) -> int:
     return min(limits[1], max(limits[0], int(n).bit_length()))
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Frequencies as bytes: the number in FREQUENCIES that is nearest by the logarithm."""
+    return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
+
+
 def frequency_sketch(words: DataFrame, bits: int) -> np.ndarray:
-    """How many shingles of all rows of `words` fall into each of 2**bits buckets: counted over everything, of fixed size."""
+    """How many shingles of all rows of `words` fall into each of 2**bits buckets, as `levels_of`.
+
+    Counted over everything. Executors add the counts up, and only bytes come to the driver. Tasks are joined to twice the
+    cores, so that no more than so many whole sketches are moved, however many partitions there are.
+    """
+    part = min(bits, PART_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.int64)
@@ -149,12 +164,20 @@ def frequency_sketch(words: DataFrame, bits: int) -> np.ndarray:
             batch = Batch(words_)
             for size in SIZES:
                 total += np.bincount((batch.shingles(size)[0] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"b": at.astype(np.int32), "n": total[at]})
-
-    counts = words.select("words").mapInPandas(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[counts["b"].to_numpy(dtype=np.int64)] = counts["n"]
+        for k, piece in enumerate(total.reshape(-1, 1 << part)):
+            if piece.any():
+                yield pd.DataFrame({"k": [k], "n": [piece.tobytes()]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << part, np.int64)
+        for x in rows["n"]:
+            total += np.frombuffer(x, np.int64)
+        return pd.DataFrame({"k": rows["k"][:1], "x": [levels_of(total).tobytes()]})
+
+    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism
+    out = np.zeros(1 << bits, np.uint8)
+    for r in words.select("words").coalesce(tasks).mapInPandas(count, "k int, n binary").groupBy("k").applyInPandas(add, "k int, x binary").collect():
+        out[r.k << part : (r.k + 1) << part] = np.frombuffer(r.x, np.uint8)
     return out
 
 
@@ -299,7 +322,7 @@ def index_rows(texts: DataFrame, sketch) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
-        rank = lambda h: counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+        rank = lambda h: FREQUENCIES[counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]]
         for rows in batches:
             out = []
             for key, words in zip(rows["key"], rows["words"]):
@@ -312,11 +335,19 @@ def index_rows(texts: DataFrame, sketch) -> DataFrame:
 
 
 def prefix_bitmap(index: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each residue of an indexed shingle: 2**bits of them, whatever the data."""
+    """One bit for each residue of an indexed shingle: 2**bits of them, whatever the data. Only bytes come to the driver."""
+    part = min(bits - 5, PART_WORDS)
+
+    def lay(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << part, np.uint32)
+        out[rows["w"].to_numpy(dtype=np.int64) & ((1 << part) - 1)] = rows["x"].to_numpy(dtype=np.int64).astype(np.uint32)
+        return pd.DataFrame({"k": [int(rows["w"].iloc[0]) >> part], "x": [out.tobytes()]})
+
     slot = F.col("gram").bitwiseAND((1 << bits) - 1)
-    words = index.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 31 as int))")).alias("x")).toPandas()
+    words = index.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 31 as int))")).alias("x"))
     out = np.zeros(1 << (bits - 5), np.uint32)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["x"].to_numpy(dtype=np.int64).astype(np.uint32)
+    for r in words.groupBy(F.shiftright("w", part).alias("k")).applyInPandas(lay, "k int, x binary").collect():
+        out[r.k << part : (r.k + 1) << part] = np.frombuffer(r.x, np.uint32)
     return out
 
 

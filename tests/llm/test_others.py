@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F_
 
 from palimpsest.llm import frequency, language, leakage, overlap, packing, pii, subjects
 
@@ -146,6 +147,35 @@ def test_overlap_report_counts_copies(spark):
     assert len(overlap.overlaps(df).collect()) == 11
 
 
+def test_sketch_and_bitmap_come_to_the_driver_as_bytes(spark):
+    """Full sketches and bitmaps of the largest size, which the driver gathers in a few times their bytes, and what they hold."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)) for _ in range(3000)]
+    rows = [list(r) for r in rows]
+    words = spark.createDataFrame([(r,) for r in rows], "words array<string>").repartition(9)
+    index = spark.range(0, 300_000).select((F_.xxhash64("id")).alias("gram"))
+    overlap.frequency_sketch(words.limit(1), 17)
+    tracemalloc.start()
+    sketch = overlap.frequency_sketch(words, overlap.SKETCH_BITS[1])
+    bitmap = overlap.prefix_bitmap(index, overlap.BITMAP_BITS[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    batch = overlap.Batch(rows)
+    counts = np.zeros(1 << overlap.SKETCH_BITS[1])
+    for size in overlap.SIZES:
+        np.add.at(counts, (batch.shingles(size)[0] & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+    near = overlap.FREQUENCIES[sketch]
+    assert ((near == 0) == (counts == 0)).all() and (np.abs(near - counts) <= 0.13 * counts + 0.01).all()
+    bits = np.zeros(1 << overlap.BITMAP_BITS[1], bool)
+    bits[[r.gram & (len(bits) - 1) for r in index.collect()]] = True
+    assert (np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool) == bits).all()
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
