@@ -9,7 +9,7 @@ Scripts without spaces or closing marks (Thai, Lao): each stretch between gaps i
 a lattice of dictionary words, and a gap is a boundary by the word before it (final particles, units, ties) and the word
 after it (openers). Khmer, Burmese, Tibetan and Ethiopic have marks of their own and go by them.
 
-What lists cannot hold is learnt from the texts themselves (`learn`), on a bounded sample: the dictionary of the word lattice,
+What lists cannot hold is learnt from the texts themselves (`learn`), by counts over all of them: the dictionary of the word lattice,
 abbreviations (words whose stop is followed by a small letter) and words that carry a sentence on behind an ellipsis.
 """
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from typing import NamedTuple
 
@@ -61,8 +62,8 @@ _CARRY = set(CARRIES_ON.split())
 # The same kinds of words in Lao.
 LAO_FINAL, LAO_OPENING, LAO_TIE = "ແລ້ວ ບໍ ບໍ່ ເດີ ນະ ແດ່ ຈ້າ ເລີຍ ນຳ", "ຂ້ອຍ ພວກເຮົາ ເຈົ້າ ລາວ ແຕ່ ຖ້າ ມື້ນີ້ ມື້ວານນີ້ ຂອບໃຈ ສະບາຍດີ", "ແລະ ຫຼື ທີ່ ຊຶ່ງ ເພາະ ໃນ ຂອງ ກັບ ຈາກ ວ່າ ເຊັ່ນ ຄື ເປັນ ເພື່ອ"
 
-#: Bounds of the sample that `learn` reads, in records and in characters of texts without closing marks.
-LEARN_ROWS, LEARN_CHARS = 20_000, 400_000
+#: Entries of a task's tallies from which they are handed on, to be added up behind the shuffle.
+TALLY_ENTRIES = 200_000
 #: Occurrences and share that make a learnt abbreviation or carrying word; occurrences, neighbours on either side and longest
 #: clusters of a learnt dictionary word.
 LEARN_COUNT, LEARN_SHARE = 4, 0.6
@@ -282,56 +283,91 @@ class Learnt(NamedTuple):
 NOTHING = Learnt(frozenset(), frozenset(), frozenset())
 
 
+class _Tally:
+    """What one text or many have of a word: how often it speaks for being learnt and against it, and its neighbours.
+
+    Of the neighbours on each side, WORD_NEIGHBOURS different ones are kept: enough to know, also after adding tallies up,
+    whether there are as many.
+    """
+
+    __slots__ = ("yes", "no", "before", "behind")
+
+    def __init__(self):
+        self.yes = self.no = 0
+        self.before: set[str] = set()
+        self.behind: set[str] = set()
+
+
+def tallies(texts: Iterable[str], most: float = math.inf) -> Iterator[dict[tuple[str, str], _Tally]]:
+    """Tallies of texts by (kind, word), handed on whenever there are `most` of them; those of one key are to be added up.
+
+    Kinds: 'stop', a word with a single stop, by the case of the letter that follows; 'dots', the word behind an ellipsis, by
+    its case; 'word', a stretch of Thai or Lao clusters.
+    """
+    found: dict[tuple[str, str], _Tally] = defaultdict(_Tally)
+    for text in texts:
+        for block in layout.blocks(text):
+            for run in layout.runs(block):
+                _tally(layout.flow_text(text, run), found)
+        if len(found) >= most:
+            yield found
+            found = defaultdict(_Tally)
+    yield found
+
+
+def _tally(f: str, found: dict[tuple[str, str], _Tally]) -> None:
+    if _THAI.search(f):
+        for gap in re.findall(r"[\u0e00-\u0eff]+", f):
+            cs = _CLUSTER.findall(gap)
+            for i in range(len(cs)):
+                for j in range(i + 1, min(len(cs), i + WORD_CLUSTERS) + 1):
+                    x = found["word", "".join(cs[i:j])]
+                    x.yes += 1
+                    if len(x.before) < WORD_NEIGHBOURS:
+                        x.before.add(cs[i - 1] if i else "^")
+                    if len(x.behind) < WORD_NEIGHBOURS:
+                        x.behind.add(cs[j] if j < len(cs) else "$")
+        return
+    seen = [("stop", m[1], m[2]) for m in re.finditer(r"(?<!\w)([^\W\d_]{2,6})\.\s+([^\W\d_])", f)]
+    seen += [("dots", m[1], m[1][0]) for m in re.finditer(r"(?:\.\.\.|…)\s+([^\W\d_]+)", f)]
+    if not seen:
+        return
+    words = _NEXT_WORD.findall(f)
+    if sum(w[0].isupper() for w in words) <= 0.05 * len(words):
+        return
+    for kind, word, letter in seen:
+        x = found[kind, word.casefold()]
+        if letter.islower():
+            x.yes += 1
+        else:
+            x.no += 1
+
+
 def learn_from(texts: list[str]) -> Learnt:
-    """`Learnt` of a sample of texts.
+    """`Learnt` of texts.
 
     A word is an abbreviation if its single stop is followed by a small letter in most cases, in texts that start sentences
     with capitals; a word carries on if most often small behind an ellipsis. Words of Thai and Lao are stretches of clusters
     that recur beside different neighbours on both sides and are not made of two shorter ones.
     """
-    stops: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    dots: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    gaps: list[str] = []
-    size = 0
-    for text in texts:
-        for block in layout.blocks(text):
-            for run in layout.runs(block):
-                f = layout.flow_text(text, run)
-                if _THAI.search(f):
-                    if size < LEARN_CHARS:
-                        gaps += re.findall(r"[\u0e00-\u0eff]+", f)
-                        size += len(f)
-                    continue
-                words = _NEXT_WORD.findall(f)
-                if sum(w[0].isupper() for w in words) <= 0.05 * len(words):
-                    continue
-                for m in re.finditer(r"(?<!\w)([^\W\d_]{2,6})\.\s+([^\W\d_])", f):
-                    stops[m[2].islower()][m[1].casefold()] += 1
-                for m in re.finditer(r"(?:\.\.\.|…)\s+([^\W\d_]+)", f):
-                    dots[m[1][0].islower()][m[1].casefold()] += 1
-    often = lambda c: frozenset(w for w, n in c[True].items() if n >= LEARN_COUNT and n >= LEARN_SHARE * (n + c[False][w]))
-    return Learnt(often(stops), often(dots), _recurring(gaps))
-
-
-def _recurring(chunks: list[str]) -> frozenset[str]:
-    count: Counter = Counter()
-    before: dict[str, set[str]] = {}
-    behind: dict[str, set[str]] = {}
-    for chunk in chunks:
-        cs = _CLUSTER.findall(chunk)
-        for i in range(len(cs)):
-            for j in range(i + 1, min(len(cs), i + WORD_CLUSTERS) + 1):
-                w = "".join(cs[i:j])
-                count[w] += 1
-                if count[w] <= 200:  # enough to know its neighbours
-                    before.setdefault(w, set()).add(cs[i - 1] if i else "^")
-                    behind.setdefault(w, set()).add(cs[j] if j < len(cs) else "$")
-    free = {w for w, n in count.items() if n >= WORD_COUNT and len(before[w]) >= WORD_NEIGHBOURS and len(behind[w]) >= WORD_NEIGHBOURS}
+    found = next(tallies(texts))
+    often = {k: x for k, x in found.items() if x.yes >= LEARN_COUNT and x.yes >= LEARN_SHARE * (x.yes + x.no)}
+    free = {k: x for k, x in found.items() if x.yes >= WORD_COUNT and len(x.before) >= WORD_NEIGHBOURS and len(x.behind) >= WORD_NEIGHBOURS}
+    return _learnt([k for k in often if k[0] != "word"] + [k for k in free if k[0] == "word"])
+
+
+def _learnt(found: list[tuple[str, str]]) -> Learnt:
+    """`Learnt` from the (kind, word) that pass their counts."""
+    of = lambda kind: frozenset(w for k, w in found if k == kind)
+    return Learnt(of("stop"), of("dots"), _simple(of("word")))
+
+
+def _simple(free: frozenset[str]) -> frozenset[str]:
+    """Of stretches that recur, those of several clusters that are not made of two shorter words."""
     known = set(_thai_words())
     words: set[str] = set()
     for w in sorted(free - known, key=lambda x: (len(x), x)):
-        whole = known | words
-        if len(_CLUSTER.findall(w)) > 1 and not any(w[:k] in whole and w[k:] in whole for k in range(1, len(w))):
+        if len(_CLUSTER.findall(w)) > 1 and not any((w[:k] in known or w[:k] in words) and (w[k:] in known or w[k:] in words) for k in range(1, len(w))):
             words.add(w)
     return frozenset(words)
 
@@ -478,13 +514,22 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(reqs)
 
 
+_TALLY = "kind string, word string, yes bigint, no bigint, before array<string>, behind array<string>"
+
+
 def learn(recs: DataFrame, col: str = "text") -> Learnt:
-    """`Learnt` of at most LEARN_ROWS texts, taken by a threshold on their hash so that no order is made."""
-    texts = recs.select(F.col(col).alias("t")).where("t <> ''")
-    n = texts.count()
-    if n > LEARN_ROWS:
-        texts = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < (LEARN_ROWS << 20) // n)
-    return learn_from(sorted(r.t for r in texts.limit(2 * LEARN_ROWS).collect()))
+    """`Learnt` of all texts: counted on the executors; what passes the counts comes to the driver, as with `learn_from`."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in tallies((t for rows in batches for t in rows["t"]), TALLY_ENTRIES):
+            yield pd.DataFrame([(*k, x.yes, x.no, sorted(x.before), sorted(x.behind)) for k, x in found.items()], columns=["kind", "word", "yes", "no", "before", "behind"])
+
+    texts = spread(recs.select(F.col(col).alias("t")).where("t <> ''"))
+    different = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    counts = texts.mapInPandas(count, _TALLY).groupBy("kind", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), different("before"), different("behind"))
+    often = (F.col("yes") >= LEARN_COUNT) & (F.col("yes") >= LEARN_SHARE * (F.col("yes") + F.col("no")))
+    free = (F.col("yes") >= WORD_COUNT) & (F.col("before") >= WORD_NEIGHBOURS) & (F.col("behind") >= WORD_NEIGHBOURS)
+    return _learnt([(r.kind, r.word) for r in counts.where(F.when(F.col("kind") == "word", free).otherwise(often)).select("kind", "word").collect()])
 
 
 def sentence_ends(recs: DataFrame, ids: list[str], col: str = "text", learnt: Learnt | None = None) -> DataFrame:
@@ -493,7 +538,7 @@ def sentence_ends(recs: DataFrame, ids: list[str], col: str = "text", learnt: Le
     Null and empty texts give none, repeated rows come out once, texts of any length are read as a whole. Without `learnt`
     it is learnt from `recs`.
     """
-    shared = recs.sparkSession.sparkContext.broadcast(learnt or learn(recs, col))  # bounded by the sample
+    shared = recs.sparkSession.sparkContext.broadcast(learnt or learn(recs, col))  # words and abbreviations only
 
     def find(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: ends(t, shared.value))

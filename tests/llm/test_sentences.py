@@ -50,6 +50,18 @@ def test_learning():
     assert s.lattice("ทีมชนะ", words)[-1] == ("ชนะ", "") and s.lattice("ดีนะ", words)[-1][1] == "final"
 
 
+def test_learning_reads_every_text(spark):
+    """More texts than any sample held: what only just passes its counts, each time in other texts, is learnt all the same."""
+    names = ["".join(("abc"[i // 9], "def"[i // 3 % 3], "ghi"[i % 3], "q")) for i in range(27)]
+    thai = [f"{a}ชนะ{b}" for a, b in (("ผม", "แล้ว"), ("เขา", "เกม"), ("ทีม", "อีก"), ("เรา", "รถ"), ("วัน", "มา"))]
+    rare = [f"Nummer {k} steht bei {n}. vier hier. Oder? Dann {n.upper()}... {n}x bald." for n in names for k in range(4)]
+    texts = [f"Post {i} is here. It says nothing." for i in range(21_000)] + rare + thai
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string").repartition(5)
+    learnt = s.learn(df)
+    assert learnt == s.learn_from(texts)
+    assert set(names) <= learnt.abbreviations and {f"{n}x" for n in names} <= learnt.carry and "ชนะ" in learnt.words
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_boundaries(case):
     text = case.replace("|", "")
